@@ -71,8 +71,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A to Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A to Z only. Pure ASCII takes the byte-wise function, which then does the same."""
+    slow = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(slow)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
