@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding, simhash, substring
+from . import chat, decontaminate, exact_dedup, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,17 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 8)
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate(_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "perspective", "seq", "turn", "role", "trained", "start_at", "end_at", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op4_exact_dedup, op6_kd_sharding, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op4_exact_dedup, op6_kd_sharding, op7_chat_rotation, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
@@ -69,6 +74,25 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
             first_value(doc_id) OVER w = doc_id AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op7_chat_rotation": r"""
+        WITH b AS (
+            SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|im_', '<| im_'), chr(13) || chr(10), '  ') AS speaker,
+                replace(coalesce(text, ''), '<|im_', '<| im_') AS body
+            FROM conversations
+        ), e AS (
+            SELECT b.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+            FROM b JOIN (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM b WHERE speaker <> 'system') ON conv_id IS NOT DISTINCT FROM c
+        ), h AS (
+            SELECT *, '<|im_start|>' || CASE role WHEN 'user' THEN 'user name=' || speaker ELSE role END || chr(10) AS head FROM e
+        ), w AS (
+            SELECT *, coalesce(sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS here,
+                row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body) - 1 AS seq
+            FROM h
+        )
+        SELECT conv_id, perspective, CAST(seq AS BIGINT) AS seq, turn, role, role = 'assistant' AS trained, CAST(here AS BIGINT) AS start_at,
+            CAST(here + length(body) + 10 AS BIGINT) AS end_at, sha256(head || body || '<|im_end|>' || chr(10)) AS rendered_sha256
+        FROM w""",
     "op9_substring_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
