@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, sharding, simhash, substring
+from . import chat, decontaminate, exact_dedup, langid, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op4_exact_dedup, op6_kd_sharding, op7_chat_rotation, op9_substring_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op4_exact_dedup, op6_kd_sharding, op7_chat_rotation, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
