@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, pieces, sharding, simhash, substring
+from . import chat, decontaminate, exact_dedup, langid, pieces, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 8)
 
@@ -47,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_sentencepiece, op4_exact_dedup, op6_kd_sharding, op7_chat_rotation, op9_substring_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_sentencepiece, op4_exact_dedup, op5_quality, op6_kd_sharding, op7_chat_rotation, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
