@@ -81,124 +81,177 @@ def _flat(words: list[list[bytes]], width: int):
     return [x for w in words for x in w], row, pos, pos + width <= np.repeat(counts, counts)
 
 
-_PART = "part int, hi binary, lo binary, doc binary, pos binary, row_key binary"
+_PART = "part int, hash binary, more binary, pos binary, doc binary, row_key binary, runs binary"
 
 
-def _packed(part, hi, lo, doc, key, pos, parts):
-    """One row for each part: the hashes and where they are, as arrays of bytes."""
-    order = np.argsort(part, kind="stable")
-    part, hi, lo, doc, key, pos = (x[order] for x in (part, hi, lo, doc, key, pos))
-    cut = np.searchsorted(part, np.arange(parts + 1))
-    at = np.flatnonzero(cut[1:] > cut[:-1])
-    pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in at], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pack(hi), pack(lo), pack(doc), pack(pos), pack(key)], ["part", "hi", "lo", "doc", "pos", "row_key"])
+def _short(x: np.ndarray) -> bytes:
+    """Positions in as few bytes as the largest needs."""
+    return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\x04" + x.astype("<u4").tobytes()
 
 
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(33)).astype(np.int64) * parts) >> 31
+def _long(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, "<u2" if x[0] == 2 else "<u4", offset=1).astype(np.int64)
 
 
-def _anchors(batches, window, parts):
-    """Hashes at the cover positions. A run of one hash in a batch keeps its first three places in different documents
-    as witnesses for other batches; all places of a hash that more documents of the batch share are marked at once."""
-    width = window - PERIOD + 1
-    for rows, words in _batches(batches, ["doc_id", "row_key", "text"]):
-        flat, row, pos, whole = _flat(words, width)
-        h = window_hashes(word_hashes(flat, 0), width, 0)
-        at = np.flatnonzero(whole & np.isin(pos % PERIOD, COVER) & (np.fromiter(map(len, words), np.int64, len(words)) >= window)[row] if len(row) else np.zeros(0, bool))
-        doc = np.array([r[0] for r in rows], np.int64)
-        key = np.array([r[1] for r in rows], np.int64)
-        yield from _verdicts(h[at], np.zeros(len(at), np.uint64), doc[row[at]], key[row[at]], pos[at].astype(np.int32), parts, every=True)
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
 
-def _verdicts(hi, lo, doc, key, pos, parts, every):
-    """What a batch passes on. Groups of equal hashes with several documents are settled here but for the place in
-    the smallest document; the places settled go to part -1, one place of each group to the part of its hash."""
-    order = np.lexsort((pos, doc, lo, hi))
-    hi, lo, doc, key, pos = (x[order] for x in (hi, lo, doc, key, pos))
-    n = len(hi)
-    if not n:
+def _packed(h, lo, doc, key, pos, parts):
+    """One row for each part: hashes, positions and the documents they are in. Places come ordered by document, which
+    is written once for each run. The bits that name the part are apart from the 32 of an anchor's hash, so the odds
+    of a chance match within a part don't grow with the input; ``lo`` has 32 bits more for windows, which have 64 + 32."""
+    part = _part(h, parts)
+    order = np.argsort(part, kind="stable")
+    part, h, lo, doc, key, pos = (x if x is None else x[order] for x in (part, h, lo, doc, key, pos))
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    full, rows = np.flatnonzero(cut[1:] > cut[:-1]), []
+    same = np.zeros(len(h), bool)
+    same[1:] = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+    first = np.flatnonzero(~same)
+    edge = np.searchsorted(first, cut)
+    size = np.diff(np.append(first, len(h)))
+    short = h.astype(np.uint32) if lo is None else h
+    for p in full:
+        x, r = slice(cut[p], cut[p + 1]), slice(edge[p], edge[p + 1])
+        rows.append((int(p), short[x].tobytes(), b"" if lo is None else lo[x].astype(np.uint32).tobytes(), _short(pos[x]), doc[first[r]].tobytes(), key[first[r]].tobytes() if lo is not None else b"", _short(size[r])))
+    return _rows(rows)
+
+
+def _rows(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)], ["part", "hash", "more", "pos", "doc", "row_key", "runs"])
+
+
+def _groups(*keys):
+    """An order that puts equal keys together, and the number of each one's group in that order."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _mixed(doc, *keys):
+    """For each place: the smallest and the largest document that has its hash."""
+    order, first, group = _groups(*keys)
+    d = doc[order]
+    low, high = np.empty_like(doc), np.empty_like(doc)
+    low[order], high[order] = np.minimum.reduceat(d, first)[group], np.maximum.reduceat(d, first)[group]
+    return low, high
+
+
+def _verdicts(h, lo, doc, key, pos, parts):
+    """What a batch passes on: what it can settle itself goes to its document's part, the rest to the part of its hash.
+
+    Anchors (no ``lo``) of several documents of the batch are settled, all places of them; one place goes on for
+    others to meet. Windows beyond the smallest document are settled, and those in it go on.
+    """
+    if not len(h):
         return
-    new = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
-    group = np.cumsum(new) - 1
-    first = doc[new][group]
-    mixed = np.zeros(group[-1] + 1, bool)
-    mixed[group[doc != first]] = True
-    # the places that are settled: all places of a mixed group (anchors), or those beyond the first document (windows)
-    settled = mixed[group] if every else doc > first
-    # those that go on: groups of one document whole, of mixed groups the first place
-    go = ~mixed[group] | new if every else ~settled
-    part = np.where(go, _part(hi, parts), 0)
-    yield _packed(part[go], hi[go], lo[go], doc[go], key[go], pos[go], parts)
+    low, high = _mixed(doc, h) if lo is None else _mixed(doc, h, lo)
+    if lo is None:
+        settled = low < high
+        go = ~settled
+        where = np.flatnonzero(settled)
+        go[where[np.unique(h[where], return_index=True)[1]]] = True
+    else:
+        settled = doc > low
+        go = ~settled
+    yield _packed(h[go], None if lo is None else lo[go], doc[go], key[go], pos[go], parts)
     if settled.any():
-        yield _settled(doc[settled], key[settled], pos[settled])
+        yield _settled(doc[settled], key[settled], pos[settled], parts)
 
 
-def _settled(doc, key, pos):
-    """Settled places as rows of part -1: one for each document, its places as an array of bytes."""
-    order = np.lexsort((pos, key, doc))
-    doc, key, pos = doc[order], key[order], pos[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-    ends = np.append(cut[1:], len(doc))
-    blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())
-    one = lambda x: pa.array([x[a : a + 1].tobytes() for a in cut], pa.binary())
-    none = pa.array([None] * len(cut), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), -1, np.int32)), none, none, one(doc), blob(pos), one(key)], ["part", "hi", "lo", "doc", "pos", "row_key"])
+def _settled(doc, key, pos, parts):
+    """Settled places, which come ordered by document, packed by the part -1 - n that all places of a document go to."""
+    to = _part(_mix(doc.astype(np.uint64)), parts)
+    order = np.argsort(to, kind="stable")
+    to, doc, key, pos = to[order], doc[order], key[order], pos[order]
+    cut = np.searchsorted(to, np.arange(parts + 1))
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    edge, size = np.searchsorted(first, cut), np.diff(np.append(first, len(doc)))
+    rows = []
+    for p in np.flatnonzero(cut[1:] > cut[:-1]):
+        r = slice(edge[p], edge[p + 1])
+        rows.append((-1 - int(p), b"", b"", _short(pos[cut[p] : cut[p + 1]]), doc[first[r]].tobytes(), key[first[r]].tobytes(), _short(size[r])))
+    return _rows(rows)
 
 
-def _reduce(batches, every):
-    """For each part, which arrives in one run of rows: the places whose hash another document has too (anchors), or a
-    smaller document has (windows). Settled rows of part -1 don't come here."""
-    held: list[dict] = []
+def _anchors(batches, window, parts):
+    """Hashes of the runs at the cover positions of texts that hold a window at all."""
+    width = window - PERIOD + 1
+    for rows, words in _batches(batches, ["doc_id", "text"]):
+        flat, row, pos, whole = _flat(words, width)
+        long = np.fromiter(map(len, words), np.int64, len(words)) >= window
+        at = np.flatnonzero(whole & np.isin(pos % PERIOD, COVER) & long[row])
+        h = window_hashes(word_hashes(flat, 0), width, 0)[at]
+        doc = np.array([r[0] for r in rows], np.int64)[row[at]]
+        yield from _verdicts(h, None, doc, np.zeros_like(doc), pos[at], parts)
 
-    def done():
-        hi, lo, doc, key, pos = (np.concatenate([np.frombuffer(r[c], t) for r in held]) for c, t in (("hi", np.uint64), ("lo", np.uint64), ("doc", np.int64), ("row_key", np.int64), ("pos", np.int32)))
-        order = np.lexsort((doc, lo, hi))
-        hi, lo, doc, key, pos = (x[order] for x in (hi, lo, doc, key, pos))
-        new = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
-        group = np.cumsum(new) - 1
-        first = doc[new][group]
-        if every:
-            mixed = np.zeros(group[-1] + 1, bool)
-            mixed[group[doc != first]] = True
-            out = mixed[group]
-        else:
-            out = doc > first
-        if out.any():
-            s = _settled(doc[out], key[out], pos[out])
-            as_long = lambda c: pa.array(np.frombuffer(b"".join(c.to_pylist()), np.int64))
-            yield pa.RecordBatch.from_arrays([as_long(s.column("doc")), as_long(s.column("row_key")), s.column("pos")], ["doc_id", "row_key", "pos"])
-
-    part = None
+
+def _runs(batches):
+    """(part, its rows) for each part; the rows of a part arrive one after the other."""
+    held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            if r["part"] != part and held:
-                yield from done()
+            if held and r["part"] != held[0]["part"]:
+                yield held[0]["part"], held
                 held = []
-            part = r["part"]
             held.append(r)
     if held:
-        yield from done()
-
-
-def _unpack(batches):
-    for b in batches:
-        as_long = lambda c: pa.array(np.frombuffer(b"".join(c.to_pylist()), np.int64))  # noqa: E731, B023
-        yield pa.RecordBatch.from_arrays([as_long(b.column("doc")), as_long(b.column("row_key")), b.column("pos")], ["doc_id", "row_key", "pos"])
-
-
-_PLACES = "doc_id long, row_key long, pos binary"
-
-
-def _exchange(rows: DataFrame, every: bool) -> DataFrame:
-    """(doc_id, row_key, pos): settled places and those that the parts find, still in pieces."""
+        yield held[0]["part"], held
+
+
+def _places(held):
+    """All documents, keys and positions of the rows of a part, and the rows' other arrays on demand."""
+    join = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in held])
+    runs = np.concatenate([_long(r["runs"]) for r in held])
+    doc = np.repeat(join("doc", np.int64), runs)
+    key = np.repeat(join("row_key", np.int64), runs) if held[0]["row_key"] else np.zeros_like(doc)
+    return doc, key, np.concatenate([_long(r["pos"]) for r in held]), join
+
+
+def _reduce(batches, windows, parts):
+    """For each part: the places whose hash another document has too (anchors), or a smaller document has (windows).
+    What is settled passes through."""
+    for part, held in _runs(batches):
+        if part < 0:
+            yield _rows([tuple(r.values()) for r in held])
+            continue
+        doc, key, pos, join = _places(held)
+        low, high = _mixed(doc, join("hash", np.uint64), join("more", np.uint32)) if windows else _mixed(doc, join("hash", np.uint32))
+        out = np.flatnonzero(doc > low if windows else low < high)
+        if len(out):
+            out = out[np.argsort(doc[out], kind="stable")]
+            yield _settled(doc[out], key[out], pos[out], parts)
+
+
+def _gather(batches):
+    """One row for each document, with the keys and the settled places of its texts."""
+    for _, held in _runs(batches):
+        doc, key, pos, _ = _places(held)
+        order = np.lexsort((key, doc))
+        doc, key, pos = doc[order], key[order], pos[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+        ends = np.append(first[1:], len(doc))
+        heads = np.flatnonzero(np.concatenate([[True], doc[first][1:] != doc[first][:-1]]))
+        cuts = pa.array(np.append(heads, len(first)).astype(np.int32))
+        blobs = pa.array([_short(pos[a:b]) for a, b in zip(first, ends)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first][heads]), pa.ListArray.from_arrays(cuts, pa.array(key[first])), pa.ListArray.from_arrays(cuts, blobs)], ["doc_key", "keys", "pieces"])
+
+
+def _exchange(rows: DataFrame, windows: bool, parts: int) -> DataFrame:
+    """(doc_key, keys, pieces): for each document the places that its batch or the parts have settled."""
     n = partitions(rows.sparkSession)
-    meet = rows.where("part >= 0").repartition(n, "part").sortWithinPartitions("part")
-    return arrow(meet, lambda it: _reduce(it, every), _PLACES).unionByName(arrow(rows.where("part < 0"), _unpack, _PLACES))
+    meet = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
+    found = arrow(meet(rows), lambda it: _reduce(it, windows, parts), _PART)
+    return arrow(meet(found), _gather, "doc_key long, keys array<long>, pieces array<binary>")
 
 
 def _windows(batches, window, parts):
-    """128-bit hashes of the windows that hold an anchor which other documents share: each anchor extends to the
+    """Two hashes of the windows that hold an anchor which other documents share: each anchor extends to the
     windows that start up to PERIOD - 1 words before it."""
     width = window - PERIOD + 1
     for rows, words in _batches(batches, ["doc_id", "row_key", "pieces", "text"]):
@@ -207,7 +260,7 @@ def _windows(batches, window, parts):
         base = np.cumsum(counts) - counts
         near = np.zeros(len(flat) + 1, np.int32)
         for r, b, c in zip(rows, base, counts):
-            p = np.concatenate([np.frombuffer(x, np.int32) for x in r[2]]).astype(np.int64)
+            p = np.concatenate([_long(x) for x in r[2]])
             p = p[p + width <= c]
             np.add.at(near, b + np.maximum(p - (window - width), 0), 1)
             np.add.at(near, b + p + 1, -1)
@@ -215,18 +268,19 @@ def _windows(batches, window, parts):
         hi, lo = (window_hashes(word_hashes(flat, k), window, k)[at] for k in (0, 1))
         doc = np.array([r[0] for r in rows], np.int64)
         key = np.array([r[1] for r in rows], np.int64)
-        yield from _verdicts(hi, lo, doc[row[at]], key[row[at]], pos[at].astype(np.int32), parts, every=False)
+        yield from _verdicts(hi, lo & np.uint64(0xFFFFFFFF), doc[row[at]], key[row[at]], pos[at], parts)
 
 
 def _cut(batches, window):
     for b in batches:
         out = []
-        for doc, pieces, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pieces", "text"))):
+        for doc, own, keys, pieces, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_key", "keys", "pieces", "text"))):
             words = split_words(text)
             gone = np.zeros(len(words) + 1, np.int64)
-            for x in pieces or ():
-                p = np.frombuffer(x, np.int32).astype(np.int64)
-                p = p[p + window <= len(words)]
+            for k, x in zip(keys or (), pieces or ()):
+                if k != own:  # of another text with this doc_id
+                    continue
+                p = _long(x)
                 np.add.at(gone, p, 1)
                 np.add.at(gone, p + window, -1)
             drop = np.cumsum(gone)[:-1] > 0
@@ -247,21 +301,19 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     Anchors are the runs of window - PERIOD + 1 words at positions in COVER modulo PERIOD. Wherever one window
     stands in two documents, some shift brings both starts into the cover, so both have an anchor in common there;
     only the windows around such anchors are hashed in full and compared. Of a hash that occurs often in a batch
-    one place is passed on, so no passage, however frequent, fills a part of the exchange. The window hashes have
-    128 bits.
+    one place is passed on, so no passage, however frequent, fills a part of the exchange. A window's hash has
+    96 bits besides those that name its part.
     """
     if window < PERIOD + 3:
         raise ValueError(f"window must be {PERIOD + 3} words or more")
     # keys that can't be null: so both joins below take the documents from one and the same exchange
     base = docs.select(F.col("doc_id").cast("long"), F.expr("coalesce(CAST(doc_id AS long), -9223372036854775808)").alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), F.col("text").cast("string"))
-    known = base.where("doc_id IS NOT NULL").select("doc_id", "row_key", "text")
+    known = base.where("doc_id IS NOT NULL").select("doc_id", "text")
     n_bytes = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), int(n_bytes / 6 * len(COVER) / PERIOD / PART_ROWS))
-    on = ["doc_key", "row_key"]
-    pieces = lambda df: df.groupBy(F.col("doc_id").alias("doc_key"), "row_key").agg(F.collect_list("pos").alias("pieces"))
-    anchors = _exchange(arrow(known, lambda it: _anchors(it, window, parts), _PART), True)
-    near = base.join(pieces(anchors), on).select("doc_id", "row_key", "pieces", "text")
-    places = _exchange(arrow(near, lambda it: _windows(it, window, parts), _PART), False)
-    full = base.join(pieces(places), on, "left")
+    anchors = _exchange(arrow(known, lambda it: _anchors(it, window, parts), _PART), False, parts)
+    near = base.join(anchors, "doc_key").select("doc_id", "row_key", "pieces", "text")
+    places = _exchange(arrow(near, lambda it: _windows(it, window, parts), _PART), True, parts)
+    full = base.join(places, "doc_key", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<long>>"
-    return arrow(full.select("doc_id", "pieces", "text"), lambda it: _cut(it, window), schema)
+    return arrow(full.select("doc_id", "row_key", "keys", "pieces", "text"), lambda it: _cut(it, window), schema)
