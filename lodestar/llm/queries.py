@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, pieces, quality, sharding, simhash, substring
+from . import chat, decontaminate, exact_dedup, langid, pieces, quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "perspective", "seq", "turn", "role", "trained", "start_at", "end_at", F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -51,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_sentencepiece, op4_exact_dedup, op5_quality, op6_kd_sharding, op7_chat_rotation, op9_substring_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_sentencepiece, op4_exact_dedup, op5_quality, op6_kd_sharding, op7_chat_rotation, op8_toxicity, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
