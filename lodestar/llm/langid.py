@@ -174,9 +174,12 @@ def learn(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, windows_each: int =
     The sample is bounded by ``docs_each`` documents of each language, taken in the order of a hash of the doc_id,
     and ``windows_each`` windows of each; both bounds hold whatever the size of the table.
     """
-    order = W.partitionBy("lang").orderBy("seed", "text")
     rows = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.xxhash64("doc_id").alias("seed"), F.col("text").cast("string"))
-    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_each).select("lang", "seed", "text")
+    # about three times as many as are wanted come through by their hash, so what is then ranked doesn't grow with the table
+    share = rows.groupBy("lang").agg((F.lit(3 * docs_each * 1_000_000) / F.count("*")).alias("per_million"))
+    near = rows.join(F.broadcast(share), "lang").where(F.pmod("seed", F.lit(1_000_000)) < F.col("per_million"))
+    order = W.partitionBy("lang").orderBy("seed", "text")
+    sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_each).select("lang", "seed", "text")
     got = sorted((r.lang, bytes(r.window)) for r in arrow(sample, lambda it: _windows(it, windows_each), "lang string, window binary").collect())
     if not got:
         return None
