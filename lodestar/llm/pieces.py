@@ -17,7 +17,9 @@ from .common import arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words are remembered up to this many, then all are forgotten; longer words than this take the pass for one word.
-CACHE_WORDS, LONG = 200_000, 48
+CACHE_WORDS, LONG = 400_000, 48
+#: Bits of the table that remembers pairs of pieces, and of the filter before the search among the keys.
+PAIR_BITS, FILTER_BITS = 20, 20
 #: Types of pieces and models in a model file: fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -82,11 +84,11 @@ class Pieces:
             raise ValueError("only unigram and BPE models with identity normalisation and no pieces of the user's own are supported")
         self.bpe = kind == BPE
         self.ids = {n: i for i, (n, t) in enumerate(zip(self.names, self.types)) if t == NORMAL}
-        if any(SPACE in n.lstrip(SPACE) for n in self.ids):
-            raise ValueError("a piece goes on beyond a space")
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(n[3:5], 16): i for i, (n, t) in enumerate(zip(self.names, self.types)) if t == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.byte_ids = frozenset(self.byte_of)
+        self.surface = [" ⁇ " if t == UNKNOWN else "" if t == CONTROL else n.replace(SPACE, " ") for n, t in zip(self.names, self.types)]
         self.score = np.array(self.scores, np.float32)  # totals are summed in single precision, as ties depend on it
         #: An unknown character scores this much less than the worst piece: a fixed value of the unigram model.
         self.unknown_score = np.float32(min((self.scores[i] for i in self.ids.values()), default=0.0)) - np.float32(10)
@@ -100,8 +102,18 @@ class Pieces:
                 for k in range(n):
                     h = h * _BASE + self._code(codes[:, k])
                 order = np.argsort(h)
-                self.keys[n] = h[order], np.array(own)[order], codes[order]
+                may = np.zeros(1 << FILTER_BITS, bool)
+                may[h >> np.uint64(64 - FILTER_BITS)] = True
+                self.keys[n] = h[order], np.array(own)[order], codes[order], may
+        # characters of the pieces by number, and which may stand side by side in a piece
+        letters = sorted({c for n in self.ids for c in n})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.joined = np.zeros((len(letters) + 1,) * 2, bool)
+        beside = np.array(sorted({(ord(a), ord(b)) for n in self.ids for a, b in zip(n, n[1:])}), np.int64).reshape(-1, 2)
+        self.joined[self.letter[beside[:, 0]], self.letter[beside[:, 1]]] = True
         self.pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
         self.words: dict[str, list[int]] = {}
 
     @staticmethod
@@ -130,13 +142,19 @@ class Pieces:
     def _steps(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may follow: -1 stands for an unknown character, which merges with nothing, and the
         number of pieces for the start of the word."""
-        ok = np.ones(len(piece), bool)
-        at = np.flatnonzero((last >= 0) & (piece >= 0))
-        pair, back = np.unique(last[at] * len(self.names) + piece[at], return_inverse=True)
-        ok[at] = np.fromiter(map(self._follows, pair.tolist()), bool, len(pair))[back]
-        alone = np.flatnonzero((last < 0) & (piece >= 0))
-        if len(alone):
-            ok[alone] = self._steps(np.full(len(alone), len(self.names)), piece[alone])
+        ok = piece < 0
+        at = np.flatnonzero(~ok)
+        before = last[at]
+        pair = np.where(before < 0, len(self.names), before) * len(self.names) + piece[at]
+        slot = (pair.astype(np.uint64) * _BASE >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.pair_keys[slot] != pair)
+        found = self.pair_ok[slot]
+        if len(new):
+            different, back = np.unique(pair[new], return_inverse=True)
+            found[new] = np.fromiter(map(self._follows, different.tolist()), bool, len(different))[back]
+            # a slot keeps one pair: for those that share it both the pair and its answer come from the last
+            self.pair_keys[slot[new]], self.pair_ok[slot[new]] = pair[new], found[new]
+        ok[at] = found
         return ok
 
     def _advance(self, words: list[str]) -> list[list[int]]:
@@ -159,23 +177,22 @@ class Pieces:
             scores, found = np.full((len(lengths), n), -np.inf, np.float32), np.full((len(lengths), n), -1)
             for c, m in enumerate(lengths):
                 i = j - m
-                hit = np.zeros(0, np.int64)
+                known = np.zeros(n, bool)
                 if m in self.keys:
-                    h, own, spelled = self.keys[m]
+                    h, own, spelled, may = self.keys[m]
                     want = sums[j] - sums[i] * power[m]
-                    at = np.minimum(np.searchsorted(h, want), len(h) - 1)
-                    hit = np.flatnonzero((h[at] == want) & (total[i] > -np.inf))
-                    hit = hit[(spelled[at[hit]] == codes[hit, i:j]).all(axis=1)]
-                    piece = own[at[hit]]
+                    hit = np.flatnonzero(may[want >> np.uint64(64 - FILTER_BITS)])
+                    at = np.minimum(np.searchsorted(h, want[hit]), len(h) - 1)
+                    true = (h[at] == want[hit]) & (spelled[at] == codes[hit, i:j]).all(axis=1)
+                    known[hit[true]] = True
+                    true &= total[i, hit] > -np.inf
+                    hit, piece = hit[true], own[at[true]]
                     if self.bpe:
                         fits = self._steps(last[i, hit], piece)
                         hit, piece = hit[fits], piece[fits]
                     found[c, hit] = piece
                     scores[c, hit] = total[i, hit] + (0 if self.bpe else self.score[piece])
                 if m == 1:
-                    known = np.zeros(n, bool)
-                    if 1 in self.keys:
-                        known = (h[at] == want) & (spelled[at, 0] == codes[:, i])
                     lost = np.flatnonzero(~known & (total[i] > -np.inf))
                     scores[c, lost] = total[i, lost] + (0 if self.bpe else self.unknown_score)
             best = scores.argmax(axis=0)
@@ -209,26 +226,40 @@ class Pieces:
         return out[::-1]
 
     def _numbers(self, word: str, pieces: list[int]) -> list[int]:
-        """Pieces as ids: an unknown character as its bytes, or as one id for a run of them."""
+        """Pieces as ids: an unknown character as its bytes, or as the unknown id."""
         out, at = [], 0
         for p in pieces:
             if p >= 0:
                 out.append(p)
                 at += len(self.names[p])
             else:
-                out += [self.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")] if self.fallback else [] if out[-1:] == [self.unknown] else [self.unknown]
+                out += [self.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
                 at += 1
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text. A null or empty text has none."""
-        split = [re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", (SPACE if self.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        """Ids of each text. A null or empty text has none.
+
+        Texts are cut wherever two characters meet that no piece has side by side, so also before each word: no piece
+        goes across. Each different part is encoded once and remembered.
+        """
+        marked = [(SPACE if self.prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(marked)
+        letters = self.letter[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+        cut = np.ones(len(whole) + 1, bool)
+        cut[1:-1] = ~self.joined[letters[:-1], letters[1:]]
+        ends = np.cumsum([len(t) for t in marked])
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        parts = [whole[a:b] for a, b in zip(places, places[1:])]
+        edge = [0, *np.searchsorted(at, ends).tolist()]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         if len(self.pairs) > 4 * CACHE_WORDS:
             self.pairs.clear()
         new: dict[int, list[str]] = {}
-        for w in {w for s in split for w in s} - self.words.keys():
+        for w in set(parts) - self.words.keys():
             if len(w) > LONG:
                 self.words[w] = self._numbers(w, self._one(w))
             else:
@@ -237,24 +268,24 @@ class Pieces:
             for a in range(0, len(same), 8192):
                 self.words |= {w: self._numbers(w, p) for w, p in zip(same[a : a + 8192], self._advance(same[a : a + 8192]))}
         known = self.words
-        return [[i for w in s for i in known[w]] for s in split]
+        out = [[i for w in parts[a:b] for i in known[w]] for a, b in zip(edge, edge[1:])]
+        if not self.fallback:  # a run of unknown characters is one unknown piece
+            out = [[i for k, i in enumerate(x) if i != self.unknown or k == 0 or x[k - 1] != i] for x in out]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: runs of byte pieces as UTF-8, without the space that was put before a text."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
+        if self.byte_ids.isdisjoint(ids):
+            text = "".join(map(self.surface.__getitem__, ids))
+        else:
+            out, run = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    run.append(self.byte_of[i])
+                    continue
+                out += [run.decode("utf-8", "replace"), self.surface[i]]
                 run = bytearray()
-            if self.types[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.types[i] != CONTROL:
-                out.append(self.names[i].replace(SPACE, " "))
-        out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+            text = "".join([*out, run.decode("utf-8", "replace")])
         return text[1:] if self.prefix and text[:1] == " " and ids and self.names[ids[0]][:1] == SPACE else text
 
 
