@@ -141,10 +141,10 @@ class VectorStore:
 
     def _write_segments(self, rows: DataFrame, depths: dict[int, int]) -> None:
         """Seal ``rows(segment_id, row_id, id, vector)`` as one commit and name it in the manifest, not yet committed."""
-        name = f"data/{uuid.uuid4().hex}"
-        at = f"{self.path}/{name}"
+        name = uuid.uuid4().hex
+        at = f"{self.path}/tmp/{name}"
         read = lambda table, schema: self.spark.read.schema(schema).parquet(f"{at}/{table}")
-        keep = lambda df, table: df.repartition("segment_id").write.partitionBy("segment_id").parquet(f"{at}/{table}")
+        keep = lambda df, table: df.repartition("segment_id").write.partitionBy("segment_id").parquet(f"{self.path}/data/{table}/commit={name}")
         rows.write.parquet(f"{at}/_rows")
         rows = read("_rows", rows.schema)
         stats = segments.segment_stats(rows)
@@ -166,9 +166,8 @@ class VectorStore:
             depth = F.when(F.col("segment_id") == k, v).otherwise(depth) if v else depth
         full = segments.with_posteriors(stats.join(segments.radius(coded), "segment_id"))
         full = full.withColumns({"depth": depth.cast("int"), "dim": F.lit(self.config.dimension), "created_at_unix_s": F.lit(int(time.time())).cast("long")})
-        full.selectExpr(*[c.name for c in self.spark.createDataFrame([], SCHEMAS["segments"]).schema]).write.parquet(f"{at}/segments")
-        for temporary in ("_rows", "_stats", "_coded", "_hashed"):
-            self.files.delete(name, temporary)
+        full.selectExpr(*[c.name for c in self.spark.createDataFrame([], SCHEMAS["segments"]).schema]).write.parquet(f"{self.path}/data/segments/commit={name}")
+        self.files.delete("tmp")
         own = self.config.as_dict()
         if own not in self.manifest["configs"]:
             self.manifest["configs"].append(own)
@@ -183,10 +182,11 @@ class VectorStore:
     def save(self) -> None:
         """Flush, and drop data and manifests that no reader of the newest one needs."""
         self.flush()
-        used = {s["data"].split("/")[1] for s in self.manifest["live"]}
-        for name in self.files.list("data"):
-            if name not in used:
-                self.files.delete("data", name)
+        used = {f"commit={s['data']}" for s in self.manifest["live"]}
+        for table in SCHEMAS:
+            for name in self.files.list("data", table):
+                if name not in used:
+                    self.files.delete("data", table, name)
         for name in self.files.list("manifest")[:-1]:
             self.files.delete("manifest", name)
 
@@ -216,8 +216,9 @@ class VectorStore:
         live = self.manifest["live"] if live is None else live
         if not live:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        paths = sorted({f"{self.path}/{s['data']}/{name}" for s in live})
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths).where(F.col("segment_id").isin([s["segment_id"] for s in live]))
+        base = f"{self.path}/data/{name}"
+        paths = sorted({f"{base}/commit={s['data']}" for s in live})
+        return self.spark.read.schema(f"{SCHEMAS[name]}, commit string").option("basePath", base).parquet(*paths).drop("commit").where(F.col("segment_id").isin([s["segment_id"] for s in live]))
 
     def num_sealed_segments(self) -> int:
         return len(self.manifest["live"])
