@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nig
+from ..functions.arrowio import ship
 from ..functions.metrics import l2
 from .segments import decode_rows
 
 #: Rows that the drift is measured on.
 DRIFT_ROWS = 1024
+#: Segments that go out at once to be paired.
+BLOCK = 1024
+
+
+def _criterion(n: np.ndarray, m2: np.ndarray) -> np.ndarray:
+    """The information criterion over the last axis, of the dimensions with rows."""
+    used = n > 0
+    fit = np.where(used, -0.5 * n * np.log(2 * math.pi * np.maximum(m2 / np.maximum(n, 1), 1e-12)), 0).sum(axis=-1)
+    return fit - 2.0 * used.sum(axis=-1) * np.log(np.maximum(np.where(used, n, 0).sum(axis=-1), 2.0))
 
 
 def pair_gains(segments: DataFrame, depth_cap: int) -> DataFrame:
     """(left_id, right_id, gain, centroid_distance) of each two segments under the depth cap, the smaller id left.
 
-    The catalogue has one row for a segment; only those that may merge meet here, each two once.
+    The catalogue, which has one row for a segment, goes out in blocks of BLOCK segments, and each of its rows is
+    compared with those of a block at once.
     """
-    own = segments.where((F.col("depth") < depth_cap) & (F.col("vector_count") > 0)).select("segment_id", "root_stats", "centroid")
-    pairs = own.alias("a").join(own.alias("b"), F.expr("a.segment_id < b.segment_id"))
-    return pairs.select(
-        F.col("a.segment_id").alias("left_id"), F.col("b.segment_id").alias("right_id"),
-        nig.bic_gain(F.col("a.root_stats"), F.col("b.root_stats")).alias("gain"), l2(F.col("a.centroid"), F.col("b.centroid")).alias("centroid_distance"),
-    )
+    spark = segments.sparkSession
+    ship(spark)
+    own = segments.where((F.col("depth") < depth_cap) & (F.col("vector_count") > 0)).select("segment_id", *(F.col(f"root_stats.{c}").alias(c) for c in ("n", "mean", "m2")))
+    blocks = -(-own.count() // BLOCK)
+    parts = [spark.createDataFrame([], "left_id long, right_id long, gain double, centroid_distance double")]
+    for k in range(blocks):
+        rows = own.where(F.pmod(F.xxhash64("segment_id"), F.lit(blocks)) == k).collect()
+        shared = spark.sparkContext.broadcast((np.array([r.segment_id for r in rows]), *(np.array([r[c] for r in rows], np.float64) for c in ("n", "mean", "m2"))))
+
+        def run(batches, shared=shared):
+            ids, n, mean, m2 = shared.value
+            for b in batches:
+                for seg, *stats in zip(*(b.column(c).to_pylist() for c in ("segment_id", "n", "mean", "m2"))):
+                    at = np.flatnonzero(ids > seg)
+                    if not len(at):
+                        continue
+                    na, ma, sa = map(np.array, stats)
+                    nb, mb, sb = n[at], mean[at], m2[at]
+                    off = mb - ma
+                    both = sa + sb + off * off * na * nb / np.maximum(na + nb, 1)
+                    gain = _criterion(na + nb, both) - _criterion(na, sa) - _criterion(nb, sb)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), seg)), pa.array(ids[at]), pa.array(gain), pa.array(np.sqrt((off * off).sum(axis=1)))], ["left_id", "right_id", "gain", "centroid_distance"])
+
+        if rows:
+            parts.append(own.mapInArrow(run, "left_id long, right_id long, gain double, centroid_distance double"))
+    return reduce(DataFrame.unionByName, parts[1:] or parts)
 
 
 def best_pair(segments: DataFrame, depth_cap: int) -> DataFrame:

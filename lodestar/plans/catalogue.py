@@ -5,14 +5,19 @@ Segments are 125 rows by vec_id; numbers are doubles rounded to 6 digits; ids ar
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import Config
 from ..functions import metrics, nig, sq8
-from ..operators import candidates, compaction, index, routing, search, segments
+from ..operators import candidates, compaction, index, routing, search, segments, turbo
 from ..operators.planes import make_planes
+from ..sources.store import VectorStore
+from ..streaming.ingest import ingest
 
 SEGMENT_ROWS, QUERIES = 125, 5
 #: Settings of the index queries: fewer bits than the default, as the table is small.
@@ -259,6 +264,40 @@ def compact_roundtrip(spark, sf_dir):
     return merged.join(rows.select("id", F.col("vector").alias("x")), "id").select("segment_id", F.col("row_id").cast("long").alias("row_id"), "id", (metrics.l2("x", "vector") < 0.05).alias("near"))
 
 
+def _new_store(spark, rows: int) -> VectorStore:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-store-")
+    return VectorStore.create(spark, f"{base.rstrip('/')}/stores/{uuid.uuid4().hex}", SMALL.with_(max_segment_rows=rows, compaction_trigger=1 << 30))
+
+
+def store_roundtrip(spark, sf_dir):
+    """Inserted, sealed, opened again: each id with how near its decoded vector is."""
+    rows = _rows(spark, sf_dir)
+    store = _new_store(spark, 200)
+    store.insert(rows.select("id", "vector"))
+    store.save()
+    again = VectorStore.open(spark, store.path)
+    back = segments.decode_rows(again.table("codes"), again.table("segments")).select("id", F.col("vector").alias("y"))
+    return rows.join(back, "id").select("id", (metrics.l2("vector", "y") < 0.05).alias("near"))
+
+
+def stream_seal(spark, sf_dir):
+    """A stream of files into a store: segments and their rows."""
+    store = _new_store(spark, 200)
+    stream = spark.readStream.schema("vec_id long, embedding array<float>").parquet(f"{sf_dir}/embeddings.parquet*").selectExpr("vec_id AS id", "embedding AS vector")
+    ingest(stream, store, f"{store.path}-checkpoint", name=uuid.uuid4().hex, flush=True, availableNow=True).awaitTermination()
+    return store.sealed_segment_summaries().select("segment_id", "vector_count")
+
+
+def turbo_inner_products(spark, sf_dir):
+    """Whether 4-bit estimates of the inner product with vector 0 are near the true ones."""
+    rows = _rows(spark, sf_dir)
+    config = turbo.TurboConfig(64, 4)
+    query = rows.where("id = 0").first().vector
+    scores = turbo.turbo_scores(turbo.turbo_encode(rows, config), query, config)
+    true = rows.select("id", metrics.dot("vector", F.array(*map(F.lit, query))).alias("dot"))
+    return scores.join(true, "id").select("id", (F.abs(F.col("score") - F.col("dot")) < 0.2).alias("near"))
+
+
 def segment_top_ids(spark, sf_dir):
     """The three largest norms in each segment: a group limit before the shuffle."""
     rows = _segmented(_rows(spark, sf_dir)).select("segment_id", "id", metrics.norm(F.slice("vector", 1, 8)).alias("size"))
@@ -274,7 +313,7 @@ QUERY_FUNCTIONS = (
     exact_knn_l2, exact_knn_cosine, exact_knn_dot, knn_custom_metric, knn_threshold, knn_dedup_min, knn_filtered, vector_norms, dot_products, l2_prefix, sparse_dots,
     sq8_minmax, sq8_codes, sq8_decode_error, adc_knn, decoded_knn, segment_telemetry, segment_centroids, root_stats, centroid_distances, nig_root_scores,
     routing_mass, routing_explain, bic_pairs, compaction_choice, lsh_signatures, lsh_postings_count, lsh_probe_counts, bucket_experts, row_evidence,
-    adaptive_budget, ann_search, compact_roundtrip, segment_top_ids, ln_gamma_values,
+    adaptive_budget, ann_search, compact_roundtrip, store_roundtrip, stream_seal, turbo_inner_products, segment_top_ids, ln_gamma_values,
 )
 QUERIES_BY_NAME = {f.__name__: f for f in QUERY_FUNCTIONS}
 
@@ -378,6 +417,9 @@ ORACLE_SQL = {
     "bu AS (SELECT *, CAST(least(greatest(round(32 + 224 * pow(1 - least(greatest(0.55 * vc + 0.30 / top + 0.15 * lead, 0), 1), 2.2)), 32), 256) AS BIGINT) AS budget FROM cf) "
     "SELECT query_id, segment_id, budget, least(budget, found) AS rows FROM bu",
     "compact_roundtrip": f"WITH {_E} SELECT CAST(99 AS BIGINT) AS segment_id, id AS row_id, id, TRUE AS near FROM e WHERE id < 250",
+    "store_roundtrip": f"WITH {_E} SELECT id, TRUE AS near FROM e",
+    "stream_seal": "SELECT i AS segment_id, least(200, n - 200 * i) AS vector_count FROM (SELECT n, unnest(range(0, (n + 199) // 200)) AS i FROM (SELECT count(*) AS n FROM embeddings))",
+    "turbo_inner_products": f"WITH {_E} SELECT id, TRUE AS near FROM e",
     "segment_top_ids": f"WITH {_E} SELECT segment_id, rank, id, round(size, 6) AS size FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY size DESC, id) AS rank FROM (SELECT segment_id, id, sqrt(list_inner_product(v[1:8], v[1:8])) AS size FROM e)) WHERE rank <= 3",
     "ln_gamma_values": f"WITH {_E} SELECT id, round(lgamma((id + 1) / 2), 6) AS value FROM e",
 }
