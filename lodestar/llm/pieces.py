@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -113,30 +113,70 @@ class Pieces:
         beside = np.array(sorted({(ord(a), ord(b)) for n in self.ids for a, b in zip(n, n[1:])}), np.int64).reshape(-1, 2)
         self.joined[self.letter[beside[:, 0]], self.letter[beside[:, 1]]] = True
         self.pairs: dict[int, bool] = {}
+        self.histories: dict[int, tuple] = {}
         self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
-        self.words: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words are remembered: ``words`` has their numbers, the ids of word k stand in ``values`` from
+        ``starts[k]`` on to ``starts[k + 1]``."""
+        self.words: dict[str, int] = {}
+        self.values, self.starts = array("i"), array("q", [0])
+
+    def _remember(self, word: str, ids: list[int]) -> None:
+        self.words[word] = len(self.words)
+        self.values.extend(ids)
+        self.starts.append(len(self.values))
 
     @staticmethod
     def _code(c: np.ndarray) -> np.ndarray:
         x = (c + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(29))
 
-    def merged(self, text: str) -> list[str]:
-        """Plain BPE of a short text: the best-scored pair first, of equal ones the leftmost."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    def _history(self, piece: int) -> tuple[list[float], list[str], list[str], bool]:
+        """How merging makes a piece: the score of each merge, the first and the last symbol before each and at the end,
+        and whether it comes out whole."""
+        if piece not in self.histories:
+            parts, scores = list(self.names[piece]), []
+            firsts, lasts = [parts[0]], [parts[-1]]
+            while True:
+                best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
+                if best is None:
+                    break
+                k = -best[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                scores.append(best[0])
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            self.histories[piece] = scores, firsts, lasts, len(parts) == 1
+        return self.histories[piece]
 
     def _follows(self, pair: int) -> bool:
+        """Whether merging the text of two pieces gives back these two; of the start of a word and a piece, the piece.
+
+        The merges inside both run as they do alone, the better one first, unless one across the border, of the
+        symbols that then stand at it, comes before: of equal scores the one further left does.
+        """
         ok = self.pairs.get(pair)
         if ok is None:
             a, b = divmod(pair, len(self.names))
-            own = [self.names[x] for x in (a, b) if x < len(self.names)]
-            ok = self.pairs[pair] = self.merged("".join(own)) == own
+            right, firsts, _, ok = self._history(b)
+            if a < len(self.names) and ok:
+                left, _, lasts, ok = self._history(a)
+                i = j = 0
+                while ok:
+                    across = self.ids.get(lasts[i] + firsts[j])
+                    x = left[i] if i < len(left) else -np.inf
+                    y = right[j] if j < len(right) else -np.inf
+                    if across is not None and self.scores[across] > x and self.scores[across] >= y:
+                        ok = False
+                    elif i < len(left) and x >= y:
+                        i += 1
+                    elif j < len(right):
+                        j += 1
+                    else:
+                        break
+            self.pairs[pair] = ok
         return ok
 
     def _steps(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -238,7 +278,12 @@ class Pieces:
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text. A null or empty text has none.
+        """Ids of each text. A null or empty text has none."""
+        edge, values = self.encode_flat(texts)
+        return [values[a:b].tolist() for a, b in zip(edge, edge[1:])]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, values): the ids of text k are values[edges[k]:edges[k + 1]].
 
         Texts are cut wherever two characters meet that no piece has side by side, so also before each word: no piece
         goes across. Each different part is encoded once and remembered.
@@ -253,25 +298,33 @@ class Pieces:
         at = np.flatnonzero(cut)
         places = at.tolist()
         parts = [whole[a:b] for a, b in zip(places, places[1:])]
-        edge = [0, *np.searchsorted(at, ends).tolist()]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self._forget()
         if len(self.pairs) > 4 * CACHE_WORDS:
             self.pairs.clear()
         new: dict[int, list[str]] = {}
         for w in set(parts) - self.words.keys():
             if len(w) > LONG:
-                self.words[w] = self._numbers(w, self._one(w))
+                self._remember(w, self._numbers(w, self._one(w)))
             else:
                 new.setdefault(len(w), []).append(w)
         for same in new.values():
             for a in range(0, len(same), 8192):
-                self.words |= {w: self._numbers(w, p) for w, p in zip(same[a : a + 8192], self._advance(same[a : a + 8192]))}
-        known = self.words
-        out = [[i for w in parts[a:b] for i in known[w]] for a, b in zip(edge, edge[1:])]
-        if not self.fallback:  # a run of unknown characters is one unknown piece
-            out = [[i for k, i in enumerate(x) if i != self.unknown or k == 0 or x[k - 1] != i] for x in out]
-        return out
+                for w, p in zip(same[a : a + 8192], self._advance(same[a : a + 8192])):
+                    self._remember(w, self._numbers(w, p))
+        word = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        starts, known = np.array(self.starts), np.array(self.values, np.int32)
+        size = starts[word + 1] - starts[word]
+        total = np.concatenate([[0], np.cumsum(size)])
+        values = known[np.repeat(starts[word] - total[:-1], size) + np.arange(total[-1])]
+        edge = np.concatenate([[0], total[np.searchsorted(at, ends)]]) if len(ends) else np.zeros(1, np.int64)
+        if not self.fallback and len(values):  # a run of unknown characters is one unknown piece
+            again = np.zeros(len(values), bool)
+            again[1:] = (values[1:] == self.unknown) & (values[:-1] == self.unknown)
+            again[edge[:-1][edge[:-1] < len(values)]] = False
+            edge = edge - np.concatenate([[0], np.cumsum(again)])[edge]
+            values = values[~again]
+        return edge, values
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: runs of byte pieces as UTF-8, without the space that was put before a text."""
@@ -326,7 +379,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         p = _pieces(model.value)
         for b in _slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.encode(b.column("text").to_pylist()), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            edge, values = p.encode_flat(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values))], ["doc_id", "ids"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids array<int>")
 
@@ -357,9 +411,10 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
         p = _pieces(model.value)
         for b in _slices(batches):
             texts = b.column("text").to_pylist()
-            ids = p.encode(texts)
+            edge, values = p.encode_flat(texts)
+            ids = [values[a:z] for a, z in zip(edge, edge[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids]), pa.array([p.decode(x) == (t or "") for x, t in zip(ids, texts)], pa.bool_())],
+                [b.column("doc_id"), pa.array(np.diff(edge)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([p.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)], pa.bool_())],
                 ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
             )
 
