@@ -6,15 +6,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow, partitions
 
 #: A perfect difference set: for any two positions there is a shift below PERIOD that takes both into COVER.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Words taken up at once; and about how many anchors or windows meet in one part of an exchange.
-BATCH_WORDS, PART_ROWS = 1 << 19, 1 << 21
+#: Words taken up at once; about how many anchors meet in one part of an exchange; frequent hashes that a task remembers.
+BATCH_WORDS, PART_ROWS, SEEN = 1 << 17, 1 << 19, 1 << 16
+#: Keys from here on name parts of documents, those below parts of hashes.
+OF_DOCUMENTS = 1 << 30
 
 _rng = np.random.default_rng(20240229)
 _BYTE = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -97,10 +99,23 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
 
-def _packed(h, lo, doc, key, pos, parts):
+def _keys(spark: SparkSession, parts: int, first: int) -> np.ndarray:
+    """Keys for ``parts`` parts, from ``first`` on, that a repartition by key deals out evenly: as many to each partition."""
+    n = partitions(spark)
+    each = -(-parts // n)
+    to = F.pmod(F.hash("key"), F.lit(n)).alias("to")
+    tried = spark.range(first, first + 40 * each * n).select(F.col("id").cast("int").alias("key")).select("key", to)
+    own = {r.to: r["keys"] for r in tried.groupBy("to").agg(F.slice(F.sort_array(F.collect_list("key")), 1, each).alias("keys")).collect()}
+    if any(len(own.get(t, ())) < each for t in range(n)):
+        return np.arange(first, first + parts, dtype=np.int32)
+    return np.array([own[p % n][p // n] for p in range(parts)], np.int32)
+
+
+def _packed(h, lo, doc, key, pos, keys):
     """One row for each part: hashes, positions and the documents they are in. Places come ordered by document, which
     is written once for each run. The bits that name the part are apart from the 32 of an anchor's hash, so the odds
     of a chance match within a part don't grow with the input; ``lo`` has 32 bits more for windows, which have 64 + 32."""
+    parts = len(keys[0])
     part = _part(h, parts)
     order = np.argsort(part, kind="stable")
     part, h, lo, doc, key, pos = (x if x is None else x[order] for x in (part, h, lo, doc, key, pos))
@@ -114,7 +129,7 @@ def _packed(h, lo, doc, key, pos, parts):
     short = h.astype(np.uint32) if lo is None else h
     for p in full:
         x, r = slice(cut[p], cut[p + 1]), slice(edge[p], edge[p + 1])
-        rows.append((int(p), short[x].tobytes(), b"" if lo is None else lo[x].astype(np.uint32).tobytes(), _short(pos[x]), doc[first[r]].tobytes(), key[first[r]].tobytes() if lo is not None else b"", _short(size[r])))
+        rows.append((int(keys[0][p]), short[x].tobytes(), b"" if lo is None else lo[x].astype(np.uint32).tobytes(), _short(pos[x]), doc[first[r]].tobytes(), key[first[r]].tobytes() if lo is not None else b"", _short(size[r])))
     return _rows(rows)
 
 
@@ -142,30 +157,62 @@ def _mixed(doc, *keys):
     return low, high
 
 
-def _verdicts(h, lo, doc, key, pos, parts):
+class _Frequent:
+    """Hashes that several documents of a task had, with the smallest of those that went on: SEEN of them at most. With
+    them a task passes on a frequent hash once or a few times, however many of its batches have it."""
+
+    def __init__(self):
+        self.h, self.lo, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """For each hash its place here, or -1."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where((self.h[at] == h) & (self.lo[at] == lo), at, -1)
+
+    def add(self, h: np.ndarray, lo: np.ndarray, low: np.ndarray) -> None:
+        room = SEEN - len(self.h)
+        if room <= 0 or not len(h):
+            return
+        h, first = np.unique(h, return_index=True)
+        new = np.flatnonzero(~np.isin(h, self.h))[:room]
+        first = first[new]
+        h, lo, low = np.concatenate([self.h, h[new]]), np.concatenate([self.lo, lo[first]]), np.concatenate([self.low, low[first]])
+        order = np.argsort(h)
+        self.h, self.lo, self.low = h[order], lo[order], low[order]
+
+
+def _verdicts(h, lo, doc, key, pos, keys, seen):
     """What a batch passes on: what it can settle itself goes to its document's part, the rest to the part of its hash.
 
-    Anchors (no ``lo``) of several documents of the batch are settled, all places of them; one place goes on for
+    Anchors (no ``lo``) of several documents of the task are settled, all places of them; one place goes on for
     others to meet. Windows beyond the smallest document are settled, and those in it go on.
     """
     if not len(h):
         return
     low, high = _mixed(doc, h) if lo is None else _mixed(doc, h, lo)
+    second = np.zeros(len(h), np.uint64) if lo is None else lo
+    known = seen.find(h, second)
+    several = np.flatnonzero((low < high) & (known < 0))
     if lo is None:
-        settled = low < high
+        settled = (low < high) | (known >= 0)
         go = ~settled
-        where = np.flatnonzero(settled)
-        go[where[np.unique(h[where], return_index=True)[1]]] = True
+        go[several[np.unique(h[several], return_index=True)[1]]] = True
     else:
-        settled = doc > low
+        settled = (doc > low) | (known >= 0) & (doc > np.append(seen.low, 0)[known])
         go = ~settled
-    yield _packed(h[go], None if lo is None else lo[go], doc[go], key[go], pos[go], parts)
+        at = np.flatnonzero(go & (known >= 0))
+        np.minimum.at(seen.low, known[at], doc[at])
+    seen.add(h[several], second[several], low[several])
+    yield _packed(h[go], None if lo is None else lo[go], doc[go], key[go], pos[go], keys)
     if settled.any():
-        yield _settled(doc[settled], key[settled], pos[settled], parts)
+        yield _settled(doc[settled], key[settled], pos[settled], keys)
 
 
-def _settled(doc, key, pos, parts):
-    """Settled places, which come ordered by document, packed by the part -1 - n that all places of a document go to."""
+def _settled(doc, key, pos, keys):
+    """Settled places, which come ordered by document, packed by the part that all places of a document go to."""
+    parts = len(keys[1])
     to = _part(_mix(doc.astype(np.uint64)), parts)
     order = np.argsort(to, kind="stable")
     to, doc, key, pos = to[order], doc[order], key[order], pos[order]
@@ -175,20 +222,20 @@ def _settled(doc, key, pos, parts):
     rows = []
     for p in np.flatnonzero(cut[1:] > cut[:-1]):
         r = slice(edge[p], edge[p + 1])
-        rows.append((-1 - int(p), b"", b"", _short(pos[cut[p] : cut[p + 1]]), doc[first[r]].tobytes(), key[first[r]].tobytes(), _short(size[r])))
+        rows.append((int(keys[1][p]), b"", b"", _short(pos[cut[p] : cut[p + 1]]), doc[first[r]].tobytes(), key[first[r]].tobytes(), _short(size[r])))
     return _rows(rows)
 
 
-def _anchors(batches, window, parts):
+def _anchors(batches, window, keys):
     """Hashes of the runs at the cover positions of texts that hold a window at all."""
-    width = window - PERIOD + 1
+    width, seen = window - PERIOD + 1, _Frequent()
     for rows, words in _batches(batches, ["doc_id", "text"]):
         flat, row, pos, whole = _flat(words, width)
         long = np.fromiter(map(len, words), np.int64, len(words)) >= window
         at = np.flatnonzero(whole & np.isin(pos % PERIOD, COVER) & long[row])
         h = window_hashes(word_hashes(flat, 0), width, 0)[at]
         doc = np.array([r[0] for r in rows], np.int64)[row[at]]
-        yield from _verdicts(h, None, doc, np.zeros_like(doc), pos[at], parts)
+        yield from _verdicts(h, None, doc, np.zeros_like(doc), pos[at], keys, seen)
 
 
 def _runs(batches):
@@ -213,11 +260,11 @@ def _places(held):
     return doc, key, np.concatenate([_long(r["pos"]) for r in held]), join
 
 
-def _reduce(batches, windows, parts):
+def _reduce(batches, windows, keys):
     """For each part: the places whose hash another document has too (anchors), or a smaller document has (windows).
     What is settled passes through."""
     for part, held in _runs(batches):
-        if part < 0:
+        if part >= OF_DOCUMENTS:
             yield _rows([tuple(r.values()) for r in held])
             continue
         doc, key, pos, join = _places(held)
@@ -225,7 +272,7 @@ def _reduce(batches, windows, parts):
         out = np.flatnonzero(doc > low if windows else low < high)
         if len(out):
             out = out[np.argsort(doc[out], kind="stable")]
-            yield _settled(doc[out], key[out], pos[out], parts)
+            yield _settled(doc[out], key[out], pos[out], keys)
 
 
 def _gather(batches):
@@ -242,18 +289,18 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[first][heads]), pa.ListArray.from_arrays(cuts, pa.array(key[first])), pa.ListArray.from_arrays(cuts, blobs)], ["doc_key", "keys", "pieces"])
 
 
-def _exchange(rows: DataFrame, windows: bool, parts: int) -> DataFrame:
+def _exchange(rows: DataFrame, windows: bool, keys: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_key, keys, pieces): for each document the places that its batch or the parts have settled."""
     n = partitions(rows.sparkSession)
     meet = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
-    found = arrow(meet(rows), lambda it: _reduce(it, windows, parts), _PART)
+    found = arrow(meet(rows), lambda it: _reduce(it, windows, keys), _PART)
     return arrow(meet(found), _gather, "doc_key long, keys array<long>, pieces array<binary>")
 
 
-def _windows(batches, window, parts):
+def _windows(batches, window, keys):
     """Two hashes of the windows that hold an anchor which other documents share: each anchor extends to the
     windows that start up to PERIOD - 1 words before it."""
-    width = window - PERIOD + 1
+    width, seen = window - PERIOD + 1, _Frequent()
     for rows, words in _batches(batches, ["doc_id", "row_key", "pieces", "text"]):
         flat, row, pos, whole = _flat(words, window)
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -268,7 +315,7 @@ def _windows(batches, window, parts):
         hi, lo = (window_hashes(word_hashes(flat, k), window, k)[at] for k in (0, 1))
         doc = np.array([r[0] for r in rows], np.int64)
         key = np.array([r[1] for r in rows], np.int64)
-        yield from _verdicts(hi, lo & np.uint64(0xFFFFFFFF), doc[row[at]], key[row[at]], pos[at], parts)
+        yield from _verdicts(hi, lo & np.uint64(0xFFFFFFFF), doc[row[at]], key[row[at]], pos[at], keys, seen)
 
 
 def _cut(batches, window):
@@ -300,8 +347,8 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     Anchors are the runs of window - PERIOD + 1 words at positions in COVER modulo PERIOD. Wherever one window
     stands in two documents, some shift brings both starts into the cover, so both have an anchor in common there;
-    only the windows around such anchors are hashed in full and compared. Of a hash that occurs often in a batch
-    one place is passed on, so no passage, however frequent, fills a part of the exchange. A window's hash has
+    only the windows around such anchors are hashed in full and compared. Of a hash that documents of a task
+    share one place is passed on, or a few, so no passage, however frequent, fills a part of the exchange. A window's hash has
     96 bits besides those that name its part.
     """
     if window < PERIOD + 3:
@@ -311,9 +358,10 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     known = base.where("doc_id IS NOT NULL").select("doc_id", "text")
     n_bytes = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), int(n_bytes / 6 * len(COVER) / PERIOD / PART_ROWS))
-    anchors = _exchange(arrow(known, lambda it: _anchors(it, window, parts), _PART), False, parts)
+    keys = _keys(docs.sparkSession, parts, 0), _keys(docs.sparkSession, parts, OF_DOCUMENTS)
+    anchors = _exchange(arrow(known, lambda it: _anchors(it, window, keys), _PART), False, keys)
     near = base.join(anchors, "doc_key").select("doc_id", "row_key", "pieces", "text")
-    places = _exchange(arrow(near, lambda it: _windows(it, window, parts), _PART), True, parts)
+    places = _exchange(arrow(near, lambda it: _windows(it, window, keys), _PART), True, keys)
     full = base.join(places, "doc_key", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<long>>"
     return arrow(full.select("doc_id", "row_key", "keys", "pieces", "text"), lambda it: _cut(it, window), schema)
