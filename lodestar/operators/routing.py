@@ -16,13 +16,14 @@ QUERY_BLOCK = 4096
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK):
     """Collected blocks (ids, matrix) of ``queries(query_id, vector)``, each of about ``size`` at most, by a hash of the id."""
-    blocks = -(-queries.count() // size)
+    queries = queries.where(F.col("vector").isNotNull() & F.col("query_id").isNotNull()).select("query_id", "vector")
+    some = queries.limit(size + 1).collect()  # mostly these are all
+    blocks = 1 if len(some) <= size else -(-queries.count() // size)
     for k in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        rows = own.select("query_id", "vector").collect()
+        rows = some if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
         for dim in sorted({len(r.vector) for r in rows}):  # a query of another length meets no segment
-            some = [r for r in rows if len(r.vector) == dim]
-            yield np.array([r.query_id for r in some], np.int64), np.array([r.vector for r in some], np.float64)
+            own = [r for r in rows if len(r.vector) == dim]
+            yield np.array([r.query_id for r in own], np.int64), np.array([r.vector for r in own], np.float64)
 
 
 def root_scores(queries: DataFrame, segments: DataFrame) -> DataFrame:

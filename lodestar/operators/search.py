@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,7 +19,10 @@ from ..functions import sq8
 from ..functions.arrowio import matrix, ship
 from ..functions.metrics import resolve
 from . import candidates, index, routing
-from .planes import Planes
+from .planes import Planes, probe_masks
+
+#: Rows that may be broadcast; pairs of a query and a segment that the driver plans with; segments named in a filter.
+BROADCAST_ROWS, PAIRS, PRUNED = 1_000_000, 200_000, 2000
 
 
 def finish(found: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
@@ -100,25 +105,76 @@ def _reranked(batches, distance, decoded):
         yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(d)], ["query_id", "id", "distance"])
 
 
-def rerank(chosen: DataFrame, codes: DataFrame, segments: DataFrame, queries: DataFrame, metric: str | Callable = "adc") -> DataFrame:
+def rerank(chosen: DataFrame, codes: DataFrame, segments: DataFrame, queries: DataFrame, metric: str | Callable = "adc", plan: Plan | None = None, budget: int = 1 << 40) -> DataFrame:
     """(query_id, id, distance) of ``chosen(query_id, segment_id, row_id)``: codes are joined last, for these rows only.
 
-    ``adc`` compares the plain query with the codes; any other metric with the decoded vectors.
+    ``adc`` compares the plain query with the codes; any other metric with the decoded vectors. With a plan and the
+    budget of each of its pairs, codes and ranges are pruned, and what is small enough goes to the codes.
     """
     ship(codes.sparkSession)
-    ranges = segments.select("segment_id", "min_vals", "max_vals")
-    pairs = chosen.select("query_id", "segment_id", "row_id").join(codes, ["segment_id", "row_id"]).join(ranges, "segment_id").join(queries.select("query_id", "vector"), "query_id")
+    ranges, own = segments.select("segment_id", "min_vals", "max_vals"), queries.select("query_id", "vector")
+    picked = chosen.select("query_id", "segment_id", "row_id")
+    if plan is not None:
+        codes, ranges, own = plan.prune(codes), plan.prune(ranges), small(own, plan.queries)
+        if plan.pairs is not None:
+            picked, ranges = small(picked, len(plan.pairs) * budget), small(ranges, 100 * len(plan.segments))
+    pairs = codes.join(picked, ["segment_id", "row_id"]).join(ranges, "segment_id").join(own, "query_id")
     distance = None if metric == "adc" else resolve(metric)
     return pairs.select("query_id", "id", "vector", "codes", "min_vals", "max_vals").mapInArrow(lambda it: _reranked(it, distance, metric != "adc"), "query_id long, id long, distance double")
 
 
-def ann_candidates(queries: DataFrame, segments: DataFrame, experts: DataFrame, postings: DataFrame, planes: Planes, config: Config, delta: float) -> tuple[DataFrame, DataFrame]:
-    """(candidate rows within budget, selected segments) for a batch of queries; one lazy plan."""
-    routed = routing.route(routing.root_scores(queries, segments), delta).where("selected")
-    selected = routed.select("query_id", "segment_id").join(segments.select("segment_id", "vector_count"), "segment_id")
+@dataclass(frozen=True)
+class Plan:
+    """What routing has decided for a batch: the number of queries, the pairs (query_id, segment_id) and their segments.
+    ``pairs`` None: more than PAIRS, so they stay distributed in ``selected``."""
+
+    queries: int
+    selected: DataFrame
+    pairs: list[tuple[int, int]] | None
+
+    @property
+    def segments(self) -> list[int] | None:
+        return None if self.pairs is None else sorted({s for _, s in self.pairs})
+
+    @property
+    def spread(self) -> int:
+        """Segments of the query that has most."""
+        return max(Counter(q for q, _ in self.pairs).values(), default=0) if self.pairs is not None else 1 << 40
+
+    def prune(self, table: DataFrame) -> DataFrame:
+        """A table of segments without partitions that no query goes to."""
+        return table if self.segments is None or len(self.segments) > PRUNED else table.where(F.col("segment_id").isin(self.segments))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it can't have more than BROADCAST_ROWS rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def plan_search(queries: DataFrame, segments: DataFrame, delta: float) -> Plan:
+    """Route a batch. This runs at once, on the catalogue alone, so that the tables can be pruned by literal ids."""
+    routed = routing.route(routing.root_scores(queries, segments), delta).where("selected").select("query_id", "segment_id")
+    got = [(r.query_id, r.segment_id) for r in routed.limit(PAIRS + 1).collect()]
+    if len(got) > PAIRS:
+        return Plan(queries.count(), routed, None)
+    own = segments.sparkSession.createDataFrame(got, "query_id long, segment_id long")
+    return Plan(len({q for q, _ in got}), F.broadcast(own), got)
+
+
+def ann_candidates(queries: DataFrame, segments: DataFrame, experts: DataFrame, postings: DataFrame, planes: Planes, config: Config, delta: float, plan: Plan | None = None) -> tuple[DataFrame, Plan]:
+    """(candidate rows within budget, the plan) for a batch of queries.
+
+    Buckets and postings are read where they stand: the probes, then the buckets found, go to them as broadcasts,
+    as long as queries, tables, probes and segments multiply to BROADCAST_ROWS at most; beyond it they are shuffled.
+    """
+    plan = plan or plan_search(queries, segments, delta)
+    counts = plan.prune(segments).select("segment_id", "vector_count")
+    selected = small(plan.selected.join(counts, "segment_id"), len(plan.pairs) if plan.pairs is not None else 1 << 40)
     hashed = index.hashed(queries.where(F.size("vector") == planes.hash.shape[2]), planes, ["query_id"])
     tables = index.by_table(hashed, ["query_id"], planes.expert.shape[1])
-    looked_up = candidates.probes(tables, planes.bits, candidates.effective_radius(config, delta))
-    buckets = candidates.bucket_scores(looked_up, experts, selected)
-    evidence = candidates.row_evidence(buckets, postings)
-    return candidates.within_budget(evidence, config), selected
+    radius = candidates.effective_radius(config, delta)
+    probes = plan.queries * planes.tables * len(probe_masks(planes.bits, radius))
+    looked_up = small(candidates.probes(tables, planes.bits, radius), probes)
+    buckets = small(candidates.bucket_scores(looked_up, plan.prune(experts), selected), probes * plan.spread)
+    evidence = candidates.row_evidence(buckets, plan.prune(postings))
+    return candidates.within_budget(evidence, config), plan

@@ -253,8 +253,8 @@ def ann_search(spark, sf_dir):
     rows, own, coded = _coded(spark, sf_dir)
     tables = _tables(rows, ["segment_id", "row_id"])
     queries = _queries(rows)
-    chosen, _ = search.ann_candidates(queries, own, index.experts(tables, SMALL.lsh_bucket_expert_dims), index.postings(tables), make_planes(SMALL), SMALL, 0.05)
-    return _result(search.finish(search.rerank(chosen, coded, own, queries, "l2"), 10))
+    chosen, plan = search.ann_candidates(queries, own, index.experts(tables, SMALL.lsh_bucket_expert_dims), index.postings(tables), make_planes(SMALL), SMALL, 0.05)
+    return _result(search.finish(search.rerank(chosen, coded, own, queries, "l2", plan, SMALL.lsh_max_candidates), 10))
 
 
 def compact_roundtrip(spark, sf_dir):

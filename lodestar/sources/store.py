@@ -248,7 +248,7 @@ class VectorStore:
         return own.join(self.visits(), "segment_id", "left").withColumn("query_visits", F.coalesce("query_visits", F.lit(0).cast("long")))
 
     def search(self, queries: DataFrame, k: int, metric="adc", threshold: float | None = None, delta: float | None = None, include_active: bool = False, record_visits: bool = False) -> DataFrame:
-        """(query_id, rank, id, distance) for ``queries(query_id, vector)``, one lazy plan for the whole batch.
+        """(query_id, rank, id, distance) for ``queries(query_id, vector)``: routed at once, then one lazy plan for the batch.
 
         ``metric``: ``adc``, ``l2``, ``cosine``, ``dot``, or a function of two matrices; ``delta`` None takes the
         configuration's. ``include_active`` also compares staged rows, exactly. A query of another length has no
@@ -261,9 +261,9 @@ class VectorStore:
             config = Config(**self.manifest["configs"][n])
             live = [s for s in self.manifest["live"] if s["config"] == n]
             tables = {t: self.table(t, live) for t in SCHEMAS}
-            chosen, own = search.ann_candidates(queries, tables["segments"], tables["experts"], tables["postings"], self._planes_for(config), config, delta)
-            found.append(search.rerank(chosen, tables["codes"], tables["segments"], queries, metric))
-            selected.append(own)
+            chosen, plan = search.ann_candidates(queries, tables["segments"], tables["experts"], tables["postings"], self._planes_for(config), config, delta)
+            found.append(search.rerank(chosen, tables["codes"], tables["segments"], queries, metric, plan, config.lsh_max_candidates))
+            selected.append(plan.selected)
         if include_active and k > 0:
             plain = "l2" if metric == "adc" else metric
             found.append(search.exact_knn(self.staged_rows(), queries, k, plain, threshold).select("query_id", "id", "distance"))
