@@ -23,12 +23,14 @@ TOXIC = 0.7
 SUPPORT, ODDS, CHANCE, CANDIDATES = 5, 15.0, 16.0, 3000
 #: Lengths of word beginnings that may be learned as stems; words looked at around a match; states and words kept.
 STEMS, AROUND, KEPT = range(4, 9), 6, 300_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Words: letters, digits and whatever else isn't ASCII, but for the usual marks between words.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\xA0\xA1\xAB\xBB\xBF\u2000-\u206F]+")
 #: Digits that stand for letters inside a word, and words that report what others said (English, German, French,
 #: Spanish): fixed values.
 LEET = str.maketrans("013457", "oieast")
-REPORT = frozenset("quote quoted quotes quoting said says called word words term terms meaning zitat zitiert sagte sagt wort begriff citation cite dit mot terme cita dijo dice palabra término".split())
-QUOTES = "\"“”„«»‹›‘’'`"
+REPORT = frozenset("quote quoted quotes quoting said says called word words meaning zitat zitiert sagte wort begriff citation palabra término".split())
+#: Marks that open and close quotations, those that do both, and the latter inside a word, where they do neither.
+OPEN, CLOSE, BOTH, INSIDE = "“„«‹", "”“»›", "\"'’‘`", re.compile(r"(?<=\w)['’‘`](?=\w)")
 
 
 def edits(term: str) -> int:
@@ -142,10 +144,13 @@ def plain(word: str) -> str:
 
 
 def quoted(text: str, found: list[re.Match], k: int) -> bool:
-    """Whether the words around word k report it: it stands between quotation marks, or a word of reporting is near."""
+    """Whether the words around word k report it: it stands in a quotation, or a word of reporting is near."""
     low, high = max(0, k - AROUND), min(len(found), k + AROUND + 1)
-    before, after = text[found[low].start() : found[k].start()], text[found[k].end() : found[high - 1].end() + 1]
-    if any(c in QUOTES for c in before) and any(c in QUOTES for c in after):
+    # the character before the first word and after the last one may be a mark
+    before = INSIDE.sub("", text[max(0, found[low].start() - 1) : found[k].start()])
+    after = INSIDE.sub("", text[found[k].end() : found[high - 1].end() + 1])
+    opened = max(map(before.rfind, OPEN)) > max(before.rfind(c) for c in CLOSE if c not in OPEN)
+    if opened and any(c in after for c in CLOSE) or any(before.count(c) % 2 and c in after for c in BOTH):
         return True
     return any(m[0] in REPORT for m in found[low:high])
 

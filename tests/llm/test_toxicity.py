@@ -42,6 +42,8 @@ def test_quotation_lowers_the_score():
     score = lambda t: toxicity.score(t, model, lexicon)
     plain, loose, quote, none = score("you are a stupid one"), score("you are a st1pid one"), score('they wrote "you stupid thing" there'), score("all fine here")
     assert plain > loose > 0.7 > quote > none == score(None) == score("") == pytest.approx(0.02)
+    assert all(score(t) < 0.7 for t in ("„so stupid“ hieß es", "un « stupid » écrit", "'stupid' it read", "«stupid»"))
+    assert all(score(t) > 0.7 for t in ("it's a stupid one, isn't it", '"a" stupid "b"', "stupid", '" stupid'))
     assert score("the word stupid is rude") < 0.7 and score("stupid " * 50_000) == 1.0
 
 
