@@ -1,40 +1,25 @@
-"""Helpers that the text operators share: shipping code, shared storage, row keys, graph components."""
+"""Helpers that the text operators share: Arrow passes, shared storage, folds, graph components."""
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-PACKAGE_ROOT = Path(__file__).resolve().parents[2]
+from ..functions.arrowio import ship
 
 #: White space of the word rules: space and tab to carriage return. ``bytes.split()`` splits at the same six.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers when their path does not hold it already."""
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if str(PACKAGE_ROOT) in paths or getattr(spark.sparkContext, "_lodestar_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((PACKAGE_ROOT / "lodestar").rglob("*.py")):
-            z.write(f, f.relative_to(PACKAGE_ROOT))
-    spark.sparkContext.addPyFile(str(target))
-    spark.sparkContext._lodestar_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = getattr(spark.sparkContext, "_lodestar_dir", None)
         if at is None:
@@ -45,11 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has written with ``materialize``, when no result of it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, *dfs: DataFrame) -> None:
     """Remove tables of ``materialize`` that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -61,11 +52,37 @@ def discard(spark: SparkSession, *dfs: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+#: Rows and bytes of an Arrow batch: texts can be long, and a kernel holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make the code importable in Python workers, and bound what a batch holds. The session's own limits stay if lower."""
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^-\d]", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+#: Ids that may be broadcast: a long each.
+BROADCAST_IDS = 400_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone(doc_id)``; rows without doc_id all stay.
+
+    Up to BROADCAST_IDS ids are broadcast, so that texts needn't be shuffled; more are joined by shuffle.
+    """
+    ids = materialize(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "without")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

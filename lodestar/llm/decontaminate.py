@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, without
 
 #: What stands between words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,5 +110,4 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2)
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
     """The rows of ``docs`` whose doc_id isn't contaminated; rows without doc_id all stay."""
-    bad = contamination(docs.select("doc_id", "text"), items, n, least).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without(docs, contamination(docs.select("doc_id", "text"), items, n, least).where("contaminated"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow, materialize, ship
+from .common import SPACES, arrow, materialize, small_batches, without
 
 _DROP = SPACES.encode()
 #: Mean number of digests in a shard of the hash, and in a bucket of a shard.
@@ -109,7 +109,7 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, int]:
     """
     distinct = materialize(rows.groupBy("digest").agg(*_winner()), "exact-distinct")
     shards = max(1, distinct.count() // SHARD)
-    ship(rows.sparkSession)
+    small_batches(rows.sparkSession)
     return materialize(distinct.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(_build, _INDEX), "exact-index"), shards
 
 
@@ -153,5 +153,4 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataF
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; rows without doc_id all stay."""
-    gone = exact_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, exact_duplicates(docs.select("doc_id", "text")).where("NOT kept"))

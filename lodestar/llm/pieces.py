@@ -17,7 +17,7 @@ from .common import arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words are remembered up to this many, then all are forgotten; longer words than this take the pass for one word.
-CACHE_WORDS, LONG = 400_000, 48
+CACHE_WORDS, LONG = 300_000, 48
 #: Bits of the table that remembers pairs of pieces, and of the filter before the search among the keys.
 PAIR_BITS, FILTER_BITS = 20, 20
 #: Types of pieces and models in a model file: fixed values of the format.
@@ -360,13 +360,6 @@ def _pieces(model: bytes) -> Pieces:
     return _loaded[key]
 
 
-def _slices(batches):
-    """Batches of a bounded number of rows."""
-    for b in batches:
-        for a in range(0, b.num_rows, 512):
-            yield b.slice(a, 512)
-
-
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, ids) for every row of ``docs(doc_id, text)``.
 
@@ -378,7 +371,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         p = _pieces(model.value)
-        for b in _slices(batches):
+        for b in batches:
             edge, values = p.encode_flat(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values))], ["doc_id", "ids"])
 
@@ -409,7 +402,7 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         p = _pieces(model.value)
-        for b in _slices(batches):
+        for b in batches:
             texts = b.column("text").to_pylist()
             edge, values = p.encode_flat(texts)
             ids = [values[a:z] for a, z in zip(edge, edge[1:])]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, components, discard, materialize
+from .common import arrow, components, materialize, without
 
 SEED = 42
 #: Shingles hashed and counted at once, so that a very long text needs no more memory than this many.
@@ -118,5 +118,4 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their near-duplicate component; rows without doc_id all stay."""
-    names = near_duplicates(docs.select("doc_id", "text"), width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(names, "doc_id", "left_anti")
+    return without(docs, near_duplicates(docs.select("doc_id", "text"), width).where("doc_id <> component_id"))

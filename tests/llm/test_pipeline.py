@@ -38,7 +38,7 @@ def test_stages_match_brute_force(spark, corpus):
     docs = spark.read.parquet(f"{at}/documents.parquet")
     # the network's decisions come from the operator; everything after them from plain Python
     said = {r.doc_id: r for r in langid.identify(docs).collect()}
-    left = [r for r in rows if r[0] is None or said[r[0]].lang_pred != "und" and said[r[0]].score >= 0.4]
+    left = [r for r in rows if said[r[0]].lang_pred != "und" and said[r[0]].score >= 0.4]
     assert {400, 401, 402}.isdisjoint({r[0] for r in left}) and len(left) > 330
     best = {}
     for r in left:
