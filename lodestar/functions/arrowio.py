@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -12,19 +13,23 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
+_shipping = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers when their path does not hold it already."""
     sc = spark.sparkContext
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lodestar_core", False):
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    target = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar_core.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((ROOT / "lodestar").rglob("*.py")):
-            z.write(f, f.relative_to(ROOT))
-    sc.addPyFile(str(target))
-    sc._lodestar_core = True
+    with _shipping:  # jobs may be started from several threads
+        if getattr(sc, "_lodestar_core", False):
+            return
+        target = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar_core.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((ROOT / "lodestar").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        sc.addPyFile(str(target))
+        sc._lodestar_core = True
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,17 @@ SCHEMAS = {
 }
 
 
+def _columns(schema: str) -> list[str]:
+    """The parts of a schema string, one for each column."""
+    return re.split(r", (?![^<]*>)", schema)
+
+
+def _together(spark, *jobs):
+    """Run jobs in threads of their own and give their results; the first error is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
 class VectorStore:
     """Rows (id, vector) in segments. One writer at a time; readers see what the manifest named when they began.
 
@@ -144,29 +158,34 @@ class VectorStore:
         name = uuid.uuid4().hex
         at = f"{self.path}/tmp/{name}"
         read = lambda table, schema: self.spark.read.schema(schema).parquet(f"{at}/{table}")
-        keep = lambda df, table: df.repartition("segment_id").write.partitionBy("segment_id").parquet(f"{self.path}/data/{table}/commit={name}")
-        rows.write.parquet(f"{at}/_rows")
-        rows = read("_rows", rows.schema)
-        stats = segments.segment_stats(rows)
-        stats.write.parquet(f"{at}/_stats")
-        stats = read("_stats", stats.schema)
-        coded = segments.encode_rows(rows, stats)
-        coded.write.parquet(f"{at}/_coded")
-        coded = read("_coded", coded.schema)
-        keep(coded.drop("off"), "codes")
+        keep = lambda df, table: df.repartition("segment_id").sortWithinPartitions("segment_id", *[c for c in ("table_id", "sig") if c in df.columns]).write.partitionBy("segment_id").parquet(f"{self.path}/data/{table}/commit={name}")
         planes = self._planes_for(self.config)
-        hashed = index.hashed(rows, planes, ["segment_id", "row_id"])
-        hashed.write.parquet(f"{at}/_hashed")
+
+        def put(df: DataFrame, table: str) -> DataFrame:
+            df.write.parquet(f"{at}/{table}")
+            return read(table, df.schema)
+
+        rows = put(rows, "_rows")
+        # what doesn't depend on each other runs side by side
+        hashed = lambda: put(index.hashed(rows, planes, ["segment_id", "row_id"]), "_hashed")
+        stats = lambda: put(segments.segment_stats(rows), "_stats")
+        hashed, stats = _together(self.spark, hashed, stats)
+        coded = put(segments.encode_rows(rows, stats), "_coded")
         dims = planes.expert.shape[1]
-        tables = index.by_table(read("_hashed", hashed.schema), ["segment_id", "row_id"], dims)
-        keep(index.postings(tables).sortWithinPartitions("table_id", "sig"), "postings")
-        keep(index.experts(tables, dims), "experts")
+        tables = index.by_table(hashed, ["segment_id", "row_id"], dims)
         depth = F.lit(0)
         for k, v in depths.items():
             depth = F.when(F.col("segment_id") == k, v).otherwise(depth) if v else depth
         full = segments.with_posteriors(stats.join(segments.radius(coded), "segment_id"))
         full = full.withColumns({"depth": depth.cast("int"), "dim": F.lit(self.config.dimension), "created_at_unix_s": F.lit(int(time.time())).cast("long")})
-        full.selectExpr(*[c.name for c in self.spark.createDataFrame([], SCHEMAS["segments"]).schema]).write.parquet(f"{self.path}/data/segments/commit={name}")
+        full = full.select([c.split(" ")[0] for c in _columns(SCHEMAS["segments"])])
+        _together(
+            self.spark,
+            lambda: keep(coded.drop("off"), "codes"),
+            lambda: keep(index.postings(tables), "postings"),
+            lambda: keep(index.experts(tables, dims), "experts"),
+            lambda: full.write.parquet(f"{self.path}/data/segments/commit={name}"),
+        )
         self.files.delete("tmp")
         own = self.config.as_dict()
         if own not in self.manifest["configs"]:
