@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import Config
-from ..functions import metrics, nig, sq8
+from ..functions import metrics, nig
 from ..operators import candidates, compaction, index, routing, search, segments, turbo
 from ..operators.planes import make_planes
 from ..sources.store import VectorStore
