@@ -12,7 +12,8 @@ from .common import materialize
 
 #: Bins of a histogram; each pass narrows a cut down by this factor.
 BINS = 512
-#: A text of more than this share of a node's weight, if it stands at the node's cut, is put to one side by itself; so many at most in a node.
+#: A text of more than this share of a node's weight, if it stands at the node's cut, is put to one side by itself; so
+#: many at most in a node.
 HEAVY, APART = 0.001, 12
 #: Rows that one task numbers.
 BLOCK_ROWS = 20_000
@@ -33,14 +34,20 @@ def groups(docs: DataFrame) -> DataFrame:
     return found.select("digest", "weight", F.array(F.log2("size"), F.col("crc").cast("double"), F.col("source").cast("double"), F.col("lang").cast("double"), F.col("low").cast("double")).alias("x"), (F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("double") / float(1 << 48)).alias("tie"))
 
 
+_STATE = "node long, d int, lo double, wide double, value double, want double, apart array<struct<v: double, t: double>>"
+_CUT = "node long, d int, value double, tie double, keep boolean, apart array<struct<v: double, t: double, left: boolean>>"
+
+
 def _split(rows: DataFrame, parts: dict[int, tuple[int, int]], total: list[float]) -> list[tuple]:
-    """Cuts for the nodes ``parts`` (node: (leaves left of the cut, leaves)): (node, dimension, value, tie).
+    """A cut for each of the nodes ``parts`` (node: (leaves left of the cut, leaves)), as rows of _CUT.
 
     Two histograms are narrowed down for all nodes at once: first over values of the widest dimension, until a bin
-    holds one value or nearly no weight, then over the tie breaker within the value at the cut. The driver gets BINS
-    sums for each node and pass, whatever the size of the table.
+    holds one value, then over the tie breaker within the value at the cut. A heavy text at the cut would leave
+    the sides uneven: it is put to the better side and the cut is sought again among the others. Nodes meet the
+    rows in a broadcast of one row for each, the sums of the bins are added up where they are, and the driver gets
+    the bin at the cut: one row for each node and pass, whatever the size of the table.
     """
-    dims = len(total)
+    spark, dims = rows.sparkSession, len(total)
     spans = rows.groupBy("node").agg(F.sum("weight").alias("w"), *[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
     state = {}
     for r in spans:
@@ -48,84 +55,68 @@ def _split(rows: DataFrame, parts: dict[int, tuple[int, int]], total: list[float
             widths = [(r[f"hi{i}"] - r[f"lo{i}"]) / total[i] if total[i] else 0.0 for i in range(dims)]
             d = max(range(dims), key=lambda i: (widths[i], -i))
             left, leaves = parts[r["node"]]
-            state[r["node"]] = {"d": d, "lo": r[f"lo{d}"], "hi": r[f"hi{d}"], "want": r["w"] * left / leaves, "all": r["w"], "value": None, "tie_lo": 0.0, "tie_hi": 1.0, "apart": [], "ends": (r[f"lo{d}"], r[f"hi{d}"])}
+            ends = (r[f"lo{d}"], r[f"hi{d}"])
+            state[r["node"]] = {"d": d, "lo": ends[0], "hi": ends[1], "want": r["w"] * left / leaves, "all": r["w"], "value": None, "before": 0, "keep": True, "tie": 0.0, "apart": [], "ends": ends}
     todo = set(state)
+    v, inside = F.when(F.col("value").isNull(), F.col("x")[F.col("d")]).when(F.col("x")[F.col("d")] == F.col("value"), F.col("tie")), F.col("v") - F.col("lo")
+    bin_ = F.when(F.col("wide") == 0, F.lit(0)).otherwise(F.least(F.lit(BINS - 1), F.floor(inside / F.col("wide") * BINS))).cast("int")
     while todo:
-        case_lo, case_w, case_v = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double")
-        for k in todo:
-            s = state[k]
-            at = F.col("node") == k
-            if s["value"] is None:
-                lo, hi, v = s["lo"], s["hi"], F.col("x")[s["d"]]
-            else:
-                lo, hi, v = s["tie_lo"], s["tie_hi"], F.when(F.col("x")[s["d"]] == s["value"], F.col("tie"))
-            inside = at & (v >= lo) & (v <= hi)
-            for value, tie, _ in s["apart"]:
-                inside &= ~((F.col("x")[s["d"]] == value) & (F.col("tie") == tie))
-            case_lo, case_w, case_v = F.when(inside, F.lit(lo)).otherwise(case_lo), F.when(inside, F.lit(hi - lo)).otherwise(case_w), F.when(inside, v).otherwise(case_v)
-        binned = rows.select("node", "weight", case_v.alias("v"), case_lo.alias("lo"), case_w.alias("wide")).where("v IS NOT NULL")
-        bin_ = F.when(F.col("wide") == 0, F.lit(0)).otherwise(F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / F.col("wide") * BINS))).cast("int")
-        sums = binned.groupBy("node", bin_.alias("bin")).agg(F.sum("weight").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        by_node: dict[int, list] = {}
-        for r in sums:
-            by_node.setdefault(r["node"], []).append(r)
+        now = [(k, s["d"], s["lo"], s["hi"] - s["lo"], s["value"], float(s["want"] - s["before"]), [(a, t) for a, t, _ in s["apart"]]) for k, s in state.items() if k in todo]
+        met = rows.join(F.broadcast(spark.createDataFrame(now, _STATE)), "node")
+        met = met.where("NOT exists(apart, a -> a.v = x[d] AND a.t = tie)").withColumn("v", v).where("v >= lo AND v <= lo + wide")
+        sums = met.groupBy("node", "want", bin_.alias("bin")).agg(F.sum("weight").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("w").over(W.partitionBy("node").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        marked = sums.withColumn("before", before).withColumn("over", F.col("before") + F.col("w") >= F.col("want"))
+        # the first bin that goes over what is wanted, or the last one
+        at = F.min(F.struct(~F.col("over"), F.when(F.col("over"), F.col("bin")).otherwise(-F.col("bin")), "before", "w", "lo", "hi")).alias("at")
+        found = {r["node"]: r["at"] for r in marked.groupBy("node").agg(at).collect()}
         for k in list(todo):
-            s, before = state[k], 0
-            want = s["want"] - s.get("before", 0)
-            if k not in by_node:  # all of it was put to one side or the other
+            s, r = state[k], found.get(k)
+            if r is None:  # all of it was put to one side or the other
                 todo.discard(k)
-                s["keep"] = True
                 continue
-            for r in sorted(by_node[k], key=lambda r: r["bin"]):
-                if before + r["w"] >= want:
-                    break
-                before += r["w"]
-            s["before"] = s.get("before", 0) + before
+            s["before"] += r["before"]
+            s["lo"], s["hi"] = r["lo"], r["hi"]
+            if r["lo"] < r["hi"]:
+                continue
             if s["value"] is None:
-                s["lo"], s["hi"] = r["lo"], r["hi"]
-                if r["lo"] == r["hi"]:
-                    s["value"] = r["lo"]
-            else:
-                s["tie_lo"], s["tie_hi"] = r["lo"], r["hi"]
-                if r["lo"] == r["hi"]:
-                    # the text at the cut goes to the side that it makes the more even
-                    s["keep"] = 2 * (s["want"] - s["before"]) >= r["w"]
-                    if r["w"] <= HEAVY * s["all"] or len(s["apart"]) == APART:
-                        todo.discard(k)
-                        continue
-                    s["apart"].append((s["value"], s["tie_lo"], s["keep"]))
-                    s["want"] -= r["w"] * s["keep"]
-                    s |= {"value": None, "lo": s["ends"][0], "hi": s["ends"][1], "tie_lo": 0.0, "tie_hi": 1.0, "before": 0}
-    return [(k, s["d"], s["ends"][0] if s["value"] is None else s["value"], s["tie_lo"], s["keep"], s["apart"]) for k, s in state.items()]
-
-
-def tree(rows: DataFrame, shards: int) -> list[tuple]:
-    """The cuts of a k-d tree with ``shards`` leaves of equal weight: (node, dimension, value, tie, whether the text at
-    the cut goes left, heavy texts put apart)."""
+                s |= {"value": r["lo"], "lo": 0.0, "hi": 1.0}
+                continue
+            # the text at the cut goes to the side that it makes the more even
+            s["tie"], s["keep"] = r["lo"], 2 * (s["want"] - s["before"]) >= r["w"]
+            if r["w"] <= HEAVY * s["all"] or len(s["apart"]) == APART:
+                todo.discard(k)
+                continue
+            s["apart"].append((s["value"], s["tie"], s["keep"]))
+            s["want"] -= r["w"] * s["keep"]
+            s |= {"value": None, "lo": s["ends"][0], "hi": s["ends"][1], "before": 0}
+    return [(k, s["d"], s["ends"][0] if s["value"] is None else s["value"], s["tie"], s["keep"], s["apart"]) for k, s in state.items()]
+
+
+def _descend(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``rows`` with their nodes one level down; nodes without a cut stay."""
+    cut = rows.sparkSession.createDataFrame(cuts, _CUT).withColumnsRenamed({"value": "cut_value", "tie": "cut_tie"})
+    met = rows.join(F.broadcast(cut), "node", "left")
+    x, at = F.col("x")[F.col("d")], F.when(F.col("keep"), F.col("tie") <= F.col("cut_tie")).otherwise(F.col("tie") < F.col("cut_tie"))
+    put = F.get(F.filter("apart", lambda a: (a["v"] == x) & (a["t"] == F.col("tie"))), F.lit(0))["left"]
+    left = F.coalesce(put, (x < F.col("cut_value")) | ((x == F.col("cut_value")) & at))
+    node = F.when(F.col("d").isNull(), F.col("node")).when(left, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
+    return met.select(*[c for c in rows.columns if c != "node"], node.alias("node"))
+
+
+def grow(rows: DataFrame, shards: int) -> DataFrame:
+    """``groups`` rows with the node of their leaf in a k-d tree with ``shards`` leaves of equal weight."""
     dims = 5
     ends = rows.agg(*[F.max(F.col("x")[i]) - F.min(F.col("x")[i]) for i in range(dims)]).first()
+    level = rows.withColumn("node", F.lit(1).cast("long"))
     if ends[0] is None:
-        return []
-    total, cuts, leaves, level = [float(v) for v in ends], [], {1: shards}, rows.withColumn("node", F.lit(1).cast("long"))
+        return level
+    total, leaves = [float(e) for e in ends], {1: shards}
     while any(n > 1 for n in leaves.values()):
-        new = _split(level, {k: (n // 2, n) for k, n in leaves.items() if n > 1}, total)
-        cuts += new
+        cuts = _split(level, {k: (n // 2, n) for k, n in leaves.items() if n > 1}, total)
         leaves = {c: m for k, n in leaves.items() for c, m in (((2 * k, n // 2), (2 * k + 1, n - n // 2)) if n > 1 else ((k, 1),))}
-        level = level.withColumn("node", _descend(new))
-    return cuts
-
-
-def _descend(cuts: list[tuple]):
-    node = F.col("node")
-    out = node
-    for k, d, value, tie, keep, apart in cuts:
-        x = F.col("x")[d]
-        at = F.col("tie") <= tie if keep else F.col("tie") < tie
-        left = (x < value) | ((x == value) & at)
-        for v, t, side in apart:
-            left = F.when((x == v) & (F.col("tie") == t), F.lit(side)).otherwise(left)
-        out = F.when(node == k, F.when(left, node * 2).otherwise(node * 2 + 1)).otherwise(out)
-    return out
+        level = materialize(_descend(level, cuts), "kd-level")
+    return level
 
 
 def _leaf_numbers(shards: int) -> list[int]:
@@ -152,15 +143,8 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     doc_id, source and lang are ignored.
     """
     rows = materialize(groups(docs), "kd-groups")
-    cuts = tree(rows, shards)
-    placed = rows.withColumn("node", F.lit(1).cast("long"))
-    depth = {}
-    for c in cuts:
-        depth.setdefault(c[0].bit_length(), []).append(c)
-    for d in sorted(depth):
-        placed = placed.withColumn("node", _descend(depth[d]))
-    number = F.create_map(*[F.lit(v) for i, k in enumerate(_leaf_numbers(shards)) for v in (k, i)])
-    placed = placed.select("digest", F.coalesce(number[F.col("node")], F.lit(0)).cast("int").alias("shard"))
+    leaf = docs.sparkSession.createDataFrame([(k, i) for i, k in enumerate(_leaf_numbers(shards))], "node long, shard int")
+    placed = grow(rows, shards).join(F.broadcast(leaf), "node").select("digest", "shard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     joined = materialize(own.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard"), "kd-rows")
