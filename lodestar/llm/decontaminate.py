@@ -93,7 +93,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2)
     by_item = materialize(phrases(items, n), "phrases")
     own = by_item.select("phrase").distinct()
     terms = own.select(F.explode("phrase").alias("term")).distinct()
-    rare = materialize(rarest_terms(own, term_counts(docs, terms)), "rarest")
+    counts = materialize(term_counts(docs, terms), "counts")
+    rare = materialize(rarest_terms(own, counts), "rarest")
     index = build_index(docs, rare.select("term"), n - 1)
     found = materialize(exact_matches(index, rare).distinct(), "matches")
     doc = ["doc_id", "text_key"]
