@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,9 +67,23 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in small batches."""
+
+    def run(batches):
+        yield from fn(batches)
+        release()
+
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 #: Ids that may be broadcast: a long each.
