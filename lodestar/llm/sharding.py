@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,7 +15,7 @@ from .common import materialize
 BINS = 512
 #: A text of more than this share of a node's weight, if it stands at the node's cut, is put to one side by itself; so
 #: many at most in a node.
-HEAVY, APART = 0.001, 12
+HEAVY, APART = 0.004, 8
 #: Rows that one task numbers.
 BLOCK_ROWS = 20_000
 
@@ -34,11 +35,16 @@ def groups(docs: DataFrame) -> DataFrame:
     return found.select("digest", "weight", F.array(F.log2("size"), F.col("crc").cast("double"), F.col("source").cast("double"), F.col("lang").cast("double"), F.col("low").cast("double")).alias("x"), (F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("double") / float(1 << 48)).alias("tie"))
 
 
-_STATE = "node long, d int, lo double, wide double, value double, want double, apart array<struct<v: double, t: double>>"
-_CUT = "node long, d int, value double, tie double, keep boolean, apart array<struct<v: double, t: double, left: boolean>>"
+_STATE = "node: bigint, d: int, lo: double, wide: double, value: double, want: double, apart: array<struct<v: double, t: double>>"
+_CUT = "node: bigint, d: int, cut_value: double, cut_tie: double, keep: boolean, apart: array<struct<v: double, t: double, left: boolean>>"
 
 
-def _split(rows: DataFrame, parts: dict[int, tuple[int, int]], total: list[float]) -> list[tuple]:
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a table, from a literal; to be broadcast."""
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))))
+
+
+def _split(rows: DataFrame, parts: dict[int, tuple[int, int]], total: list[float]) -> list[dict]:
     """A cut for each of the nodes ``parts`` (node: (leaves left of the cut, leaves)), as rows of _CUT.
 
     Two histograms are narrowed down for all nodes at once: first over values of the widest dimension, until a bin
@@ -61,8 +67,8 @@ def _split(rows: DataFrame, parts: dict[int, tuple[int, int]], total: list[float
     v, inside = F.when(F.col("value").isNull(), F.col("x")[F.col("d")]).when(F.col("x")[F.col("d")] == F.col("value"), F.col("tie")), F.col("v") - F.col("lo")
     bin_ = F.when(F.col("wide") == 0, F.lit(0)).otherwise(F.least(F.lit(BINS - 1), F.floor(inside / F.col("wide") * BINS))).cast("int")
     while todo:
-        now = [(k, s["d"], s["lo"], s["hi"] - s["lo"], s["value"], float(s["want"] - s["before"]), [(a, t) for a, t, _ in s["apart"]]) for k, s in state.items() if k in todo]
-        met = rows.join(F.broadcast(spark.createDataFrame(now, _STATE)), "node")
+        now = [{"node": k, "d": s["d"], "lo": s["lo"], "wide": s["hi"] - s["lo"], "value": s["value"], "want": float(s["want"] - s["before"]), "apart": s["apart"]} for k, s in state.items() if k in todo]
+        met = rows.join(_table(spark, now, _STATE), "node")
         met = met.where("NOT exists(apart, a -> a.v = x[d] AND a.t = tie)").withColumn("v", v).where("v >= lo AND v <= lo + wide")
         sums = met.groupBy("node", "want", bin_.alias("bin")).agg(F.sum("weight").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         before = F.coalesce(F.sum("w").over(W.partitionBy("node").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -87,16 +93,15 @@ def _split(rows: DataFrame, parts: dict[int, tuple[int, int]], total: list[float
             if r["w"] <= HEAVY * s["all"] or len(s["apart"]) == APART:
                 todo.discard(k)
                 continue
-            s["apart"].append((s["value"], s["tie"], s["keep"]))
+            s["apart"].append({"v": s["value"], "t": s["tie"], "left": s["keep"]})
             s["want"] -= r["w"] * s["keep"]
             s |= {"value": None, "lo": s["ends"][0], "hi": s["ends"][1], "before": 0}
-    return [(k, s["d"], s["ends"][0] if s["value"] is None else s["value"], s["tie"], s["keep"], s["apart"]) for k, s in state.items()]
+    return [{"node": k, "d": s["d"], "cut_value": s["ends"][0] if s["value"] is None else s["value"], "cut_tie": s["tie"], "keep": s["keep"], "apart": s["apart"]} for k, s in state.items()]
 
 
-def _descend(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
+def _descend(rows: DataFrame, cuts: list[dict]) -> DataFrame:
     """``rows`` with their nodes one level down; nodes without a cut stay."""
-    cut = rows.sparkSession.createDataFrame(cuts, _CUT).withColumnsRenamed({"value": "cut_value", "tie": "cut_tie"})
-    met = rows.join(F.broadcast(cut), "node", "left")
+    met = rows.join(_table(rows.sparkSession, cuts, _CUT), "node", "left")
     x, at = F.col("x")[F.col("d")], F.when(F.col("keep"), F.col("tie") <= F.col("cut_tie")).otherwise(F.col("tie") < F.col("cut_tie"))
     put = F.get(F.filter("apart", lambda a: (a["v"] == x) & (a["t"] == F.col("tie"))), F.lit(0))["left"]
     left = F.coalesce(put, (x < F.col("cut_value")) | ((x == F.col("cut_value")) & at))
@@ -143,8 +148,8 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     doc_id, source and lang are ignored.
     """
     rows = materialize(groups(docs), "kd-groups")
-    leaf = docs.sparkSession.createDataFrame([(k, i) for i, k in enumerate(_leaf_numbers(shards))], "node long, shard int")
-    placed = grow(rows, shards).join(F.broadcast(leaf), "node").select("digest", "shard")
+    leaf = _table(docs.sparkSession, [{"node": k, "shard": i} for i, k in enumerate(_leaf_numbers(shards))], "node: bigint, shard: int")
+    placed = grow(rows, shards).join(leaf, "node").select("digest", "shard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     joined = materialize(own.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard"), "kd-rows")
