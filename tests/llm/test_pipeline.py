@@ -64,3 +64,12 @@ def test_stages_keep_the_columns(spark, corpus):
     docs = spark.read.parquet(f"{at}/documents.parquet")
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, at).columns == docs.columns
+
+
+def test_a_document_with_one_benchmark_item_goes(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    prose = lambda at, n: " ".join(f"w{at + i}" for i in range(n))
+    spark.createDataFrame([(0, prose(0, 20)), (1, prose(100, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"{prose(500, 9)} {prose(0, 20)} {prose(600, 9)}"), (2, prose(700, 30)), (3, f"{prose(900, 5)} {prose(0, 7)}"), (4, prose(100, 12)), (5, None)]
+    left = dict(pipeline.STAGES)["decontamination"](spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 5]
