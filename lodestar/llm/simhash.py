@@ -70,9 +70,10 @@ def _keys(parts: int) -> tuple[str, str]:
 def links(fps: DataFrame, bits: int = 2, bucket: int = 256) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints ``fps(fp)`` that differ in ``bits`` (2) bits or fewer.
 
-    Buckets of more than ``bucket`` entries are not paired off: the fingerprints in them go on to the next table
-    set, whose keys leave out a smaller segment (32, 16, then 8 bits). In the last one, a bucket has no more than
-    2**8 members by construction, so the work stays in proportion to the input however skewed that is.
+    Buckets of more than ``bucket`` entries are not paired off: the fingerprints in them, and those whose probes
+    meet one, go on to the next table set, whose keys leave out a smaller segment (32, 16, then 8 bits). In the last
+    one, a bucket has no more than 2**8 members by construction, so the work stays in proportion to the input however
+    skewed that is.
     """
     if bits != 2:
         raise ValueError("the key scheme is for 2 bits")
@@ -87,7 +88,7 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = 256) -> DataFrame:
             if hot.isEmpty():
                 hot = None
         if hot is not None:
-            heavy = table.join(hot, ["t", "k"], "left_semi").select("fp").distinct()
+            heavy = table.unionByName(probe).join(hot, ["t", "k"], "left_semi").select("fp").distinct()
             table = table.join(hot, ["t", "k"], "left_anti")
         same = table.alias("x").join(table.alias("y"), ["t", "k"]).where("x.fp < y.fp").selectExpr("x.fp AS a", "y.fp AS b")
         near = probe.alias("x").join(table.alias("y"), ["t", "k"]).selectExpr("least(x.fp, y.fp) AS a", "greatest(x.fp, y.fp) AS b")

@@ -65,6 +65,19 @@ def test_hot_buckets_go_to_finer_tables(spark):
     assert got == want
 
 
+def test_probes_into_hot_buckets_are_not_lost(spark):
+    rng = random.Random(4)
+    high = (1 << 32) - 1
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    for kept in (high, high << 32):  # the kept segment is all ones, so only a neighbour's probe can lead into the bucket
+        other = 32 if kept == high else 0
+        inside = rng.sample([kept | rng.getrandbits(32) << other for _ in range(60)], 40)
+        prints = {*inside, *(p ^ 1 << rng.randrange(32) + 32 - other ^ 1 << rng.randrange(32) + other for p in inside)}
+        want = {(min(a, b), max(a, b)) for x in prints for y in prints if x < y and (x ^ y).bit_count() <= 2 for a, b in [(signed(x), signed(y))]}
+        got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), bucket=8).collect()}
+        assert got == want and len(want) >= 40
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, None), (4, ""), (4, ""), (7, "a b")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
