@@ -209,9 +209,10 @@ def choose(clean: dict[str, int], toxic: list[dict[str, str]], n_clean: int, sha
     ``clean`` counts the clean documents with a candidate, ``toxic`` has the candidates in each toxic document and
     the words beside them; a candidate's support is the number of different such surroundings, so that copies count
     once. The term that explains most is taken, then the one that explains most of the documents that are left, and
-    so on: so words that only stand in the same documents are not taken, nor words that begin with a stem that is.
-    Of candidates that explain the same, a word goes before a stem and a longer stem before a shorter one. Those with
-    a fifth of the largest support at least are taken in any case, unless a stem or most of a stem is.
+    so on: so words that only stand in the same documents are not taken. Of candidates that explain the same, a word goes
+    before a stem and a longer stem before a shorter one. Those with a fifth of the largest support at least are taken
+    in any case, unless a stem or most of a stem is. As a stem is spelled exactly, the candidate words that begin with
+    one stand beside it, if they are as telling by themselves: so these may be misspelled like any other word.
     """
     n_toxic = len(toxic)
     need = max(SUPPORT, math.ceil(CHANCE / math.log1p(n_clean / n_toxic)))
@@ -242,7 +243,9 @@ def choose(clean: dict[str, int], toxic: list[dict[str, str]], n_clean: int, sha
         if any(bare[:n] + "*" in out for n in STEMS if n <= len(bare)) or t.endswith("*") and any(o.startswith(bare) for o in out):
             continue
         out[t] = chance[t]
-    return out
+    stems = tuple(t[:-1] for t in out if t.endswith("*"))
+    beside = (t for t in at if not t.endswith("*") and t.startswith(stems) and chance[t] >= TOXIC and whole[t] / n_toxic / rate[t] >= ODDS)
+    return out | {t: chance[t] for t in beside}
 
 
 def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:

@@ -78,6 +78,16 @@ def test_copies_of_one_document_make_no_terms():
     assert set(toxicity.choose({}, toxic, 800, 0.1)) == {"rude"}
 
 
+def test_words_of_a_stem_may_be_misspelled():
+    rng = random.Random(6)
+    toxic = [toxicity._candidates(f"x{i} {rng.choice(['grumbling', 'grumbling', 'grumblers'])} y{i}") for i in range(200)]
+    terms = toxicity.choose({}, toxic, 800, 0.1)
+    assert any(t.endswith("*") for t in terms) and {"grumbling", "grumblers"} <= set(terms)
+    lexicon = toxicity.Automaton(terms)
+    assert lexicon.match("grunbling") == ("grumbling", 1) and lexicon.match("grumbling")[1] == lexicon.match("grumblish")[1] == 0
+    assert lexicon.match("kalomiru") is None
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
