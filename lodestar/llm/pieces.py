@@ -18,6 +18,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words are remembered up to this many, then all are forgotten; longer words than this take the pass for one word.
 CACHE_WORDS, LONG = 300_000, 48
+#: Texts are taken up together until they have this many bytes: more words of one length advance together.
+POOL_BYTES = 4 << 20
 #: Bits of the table that remembers pairs of pieces, and of the filter before the search among the keys.
 PAIR_BITS, FILTER_BITS = 20, 20
 #: Types of pieces and models in a model file: fixed values of the format.
@@ -86,9 +88,12 @@ class Pieces:
         self.ids = {n: i for i, (n, t) in enumerate(zip(self.names, self.types)) if t == NORMAL}
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(n[3:5], 16): i for i, (n, t) in enumerate(zip(self.names, self.types)) if t == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.byte_ids = frozenset(self.byte_of)
-        self.surface = [" ⁇ " if t == UNKNOWN else "" if t == CONTROL else n.replace(SPACE, " ") for n, t in zip(self.names, self.types)]
+        self.byte_id = np.full(256, self.unknown)
+        self.byte_id[list(self.bytes)] = list(self.bytes.values())
+        # what each piece decodes to: its bytes stand in ``surface`` from ``edge[id]`` on to ``edge[id + 1]``
+        plain = [bytes([int(n[3:5], 16)]) if t == BYTE else (" ⁇ " if t == UNKNOWN else "" if t == CONTROL else n.replace(SPACE, " ")).encode() for n, t in zip(self.names, self.types)]
+        self.surface, self.edge = np.frombuffer(b"".join(plain), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in plain])])
+        self.spaced = np.array([n[:1] == SPACE for n in self.names])
         self.score = np.array(self.scores, np.float32)  # totals are summed in single precision, as ties depend on it
         #: An unknown character scores this much less than the worst piece: a fixed value of the unigram model.
         self.unknown_score = np.float32(min((self.scores[i] for i in self.ids.values()), default=0.0)) - np.float32(10)
@@ -123,10 +128,10 @@ class Pieces:
         self.words: dict[str, int] = {}
         self.values, self.starts = array("i"), array("q", [0])
 
-    def _remember(self, word: str, ids: list[int]) -> None:
-        self.words[word] = len(self.words)
-        self.values.extend(ids)
-        self.starts.append(len(self.values))
+    def _remember(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.starts.frombytes((len(self.values) + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.values.frombytes(np.asarray(ids, np.int32).tobytes())
 
     @staticmethod
     def _code(c: np.ndarray) -> np.ndarray:
@@ -197,53 +202,86 @@ class Pieces:
         ok[at] = found
         return ok
 
-    def _advance(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words of one length; -1 for an unknown character."""
-        n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).astype(np.uint64)
+    def _arcs(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(end, row, width, piece) of every place in words of one length, ``codes`` (letters, words), where a piece
+        stands, by end: substrings of a width are hashed at once and looked up among the sorted keys of that width."""
+        size, n = codes.shape
         mapped, sums = self._code(codes), np.zeros((size + 1, n), np.uint64)
         for j in range(size):
-            sums[j + 1] = sums[j] * _BASE + mapped[:, j]
-        power = np.full(min(size, self.longest) + 1, _BASE)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
+            sums[j + 1] = sums[j] * _BASE + mapped[j]
+        power, found = np.multiply.accumulate(np.full(min(size, self.longest), _BASE)), []
+        for m in range(1, len(power) + 1):
+            if m not in self.keys:
+                continue
+            h, own, spelled, may = self.keys[m]
+            want = (sums[m:] - sums[:-m] * power[m - 1]).ravel()
+            hit = np.flatnonzero(may[want >> np.uint64(64 - FILTER_BITS)])
+            at = np.minimum(np.searchsorted(h, want[hit]), len(h) - 1)
+            same = h[at] == want[hit]
+            hit, at = hit[same], at[same]
+            start, row = np.divmod(hit, n)
+            same = (spelled[at] == codes[start[:, None] + np.arange(m), row[:, None]]).all(axis=1)
+            found.append((start[same] + m, row[same], np.full(int(same.sum()), m), own[at[same]]))
+        end, row, width, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+        order = np.argsort(end, kind="stable")
+        return end[order], row[order], width[order], piece[order]
+
+    def _advance(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids) of words of one length."""
+        n, size = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64)
+        end, row, wide, piece = self._arcs(codes)
+        known = np.zeros((size + 1, n), bool)
+        known[end[wide == 1], row[wide == 1]] = True
+        edge = np.searchsorted(end, np.arange(size + 2))
         total = np.full((size + 1, n), -np.inf, np.float32)
         total[0] = 0
         last = np.full((size + 1, n), len(self.names))
         width = np.zeros((size + 1, n), np.int64)
         rows = np.arange(n)
         for j in range(1, size + 1):
-            lengths = range(min(j, self.longest), 0, -1)
-            scores, found = np.full((len(lengths), n), -np.inf, np.float32), np.full((len(lengths), n), -1)
-            for c, m in enumerate(lengths):
-                i = j - m
-                known = np.zeros(n, bool)
-                if m in self.keys:
-                    h, own, spelled, may = self.keys[m]
-                    want = sums[j] - sums[i] * power[m]
-                    hit = np.flatnonzero(may[want >> np.uint64(64 - FILTER_BITS)])
-                    at = np.minimum(np.searchsorted(h, want[hit]), len(h) - 1)
-                    true = (h[at] == want[hit]) & (spelled[at] == codes[hit, i:j]).all(axis=1)
-                    known[hit[true]] = True
-                    true &= total[i, hit] > -np.inf
-                    hit, piece = hit[true], own[at[true]]
-                    if self.bpe:
-                        fits = self._steps(last[i, hit], piece)
-                        hit, piece = hit[fits], piece[fits]
-                    found[c, hit] = piece
-                    scores[c, hit] = total[i, hit] + (0 if self.bpe else self.score[piece])
-                if m == 1:
-                    lost = np.flatnonzero(~known & (total[i] > -np.inf))
-                    scores[c, lost] = total[i, lost] + (0 if self.bpe else self.unknown_score)
+            own, most = slice(edge[j], edge[j + 1]), min(j, self.longest)
+            r, m, p = row[own], wide[own], piece[own]
+            open_ = total[j - m, r] > -np.inf
+            r, m, p = r[open_], m[open_], p[open_]
+            if self.bpe:
+                fits = self._steps(last[j - m, r], p)
+                r, m, p = r[fits], m[fits], p[fits]
+            # a row for each width, the widest first: of equal sums it counts
+            scores, found = np.full((most, n), -np.inf, np.float32), np.full((most, n), -1)
+            found[most - m, r] = p
+            scores[most - m, r] = total[j - m, r] + (0 if self.bpe else self.score[p])
+            lost = np.flatnonzero(~known[j] & (total[j - 1] > -np.inf))
+            scores[most - 1, lost] = total[j - 1, lost] + (0 if self.bpe else self.unknown_score)
             best = scores.argmax(axis=0)
-            total[j], last[j], width[j] = scores[best, rows], found[best, rows], len(lengths) - best
-        out: list[list[int]] = [[] for _ in words]
-        end = np.full(n, size)
+            total[j], last[j], width[j] = scores[best, rows], found[best, rows], most - best
+        return self._collect(codes, last, width)
+
+    def _collect(self, codes: np.ndarray, last: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the back pointers, of all words at once: an unknown character as its bytes, or as the unknown id."""
+        size, n = codes.shape
+        end, row, piece, back, at = np.full(n, size), [], [], [], []
         while (going := np.flatnonzero(end > 0)).size:
-            for r, p in zip(going.tolist(), last[end[going], going].tolist()):
-                out[r].append(p)
-            end[going] -= width[end[going], going]
-        return [x[::-1] for x in out]
+            here = end[going]
+            row.append(going)
+            piece.append(last[here, going])
+            at.append(here - 1)
+            back.append(np.full(len(going), -len(back)))
+            end[going] -= width[here, going]
+        row, piece, back, at = (np.concatenate(x) for x in (row, piece, back, at))
+        order = np.lexsort((back, row))
+        row, piece, at = row[order], piece[order], at[order]
+        lost = np.flatnonzero(piece < 0)
+        if not self.fallback or not len(lost):
+            piece[lost] = self.unknown
+            return np.bincount(row, minlength=n), piece
+        raw = codes[at[lost], row[lost]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        spelled = codes[at[lost], row[lost]]
+        long = np.ones(len(piece), np.int64)
+        long[lost] = 1 + (spelled >= 0x80) + (spelled >= 0x800).astype(np.int64) + (spelled >= 0x10000)
+        out = np.repeat(piece, long)
+        out[out < 0] = self.byte_id[np.frombuffer(raw, np.uint8)]
+        return np.bincount(row, weights=long, minlength=n).astype(np.int64), out
 
     def _one(self, word: str) -> list[int]:
         """The same pass for a single long word."""
@@ -290,29 +328,33 @@ class Pieces:
         """
         marked = [(SPACE if self.prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(marked)
-        letters = self.letter[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = self.letter[codes]
         cut = np.ones(len(whole) + 1, bool)
         cut[1:-1] = ~self.joined[letters[:-1], letters[1:]]
         ends = np.cumsum([len(t) for t in marked])
         cut[ends] = True
         at = np.flatnonzero(cut)
-        places = at.tolist()
-        parts = [whole[a:b] for a, b in zip(places, places[1:])]
+        start, span = at[:-1], np.diff(at)
+        first, kind = self._different(codes, start, span)
         if len(self.words) > CACHE_WORDS:
             self._forget()
         if len(self.pairs) > 4 * CACHE_WORDS:
             self.pairs.clear()
+        parts = [whole[a:b] for a, b in zip(start[first].tolist(), (start + span)[first].tolist())]
         new: dict[int, list[str]] = {}
-        for w in set(parts) - self.words.keys():
-            if len(w) > LONG:
-                self._remember(w, self._numbers(w, self._one(w)))
-            else:
+        for w in parts:
+            if w not in self.words:
                 new.setdefault(len(w), []).append(w)
-        for same in new.values():
+        for n, same in new.items():
+            if n > LONG:
+                for w in same:
+                    ids = self._numbers(w, self._one(w))
+                    self._remember([w], np.array([len(ids)]), ids)
+                continue
             for a in range(0, len(same), 8192):
-                for w, p in zip(same[a : a + 8192], self._advance(same[a : a + 8192])):
-                    self._remember(w, self._numbers(w, p))
-        word = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+                self._remember(same[a : a + 8192], *self._advance(same[a : a + 8192]))
+        word = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))[kind]
         starts, known = np.array(self.starts), np.array(self.values, np.int32)
         size = starts[word + 1] - starts[word]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -326,20 +368,47 @@ class Pieces:
             values = values[~again]
         return edge, values
 
+    @staticmethod
+    def _hashes(codes: np.ndarray, start: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """A hash of each part: sums of powers up to its end less those up to its start, taken back to power 0."""
+        power = np.full(len(codes) + 1, _BASE)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(Pieces._code(codes.astype(np.uint64)) * power[:-1], out=sums[1:])
+        power[1:] = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        back = np.multiply.accumulate(power)
+        return (sums[start + span] - sums[start]) * back[start]
+
+    def _different(self, codes: np.ndarray, start: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the first place of each different part, which of these each part is): by hash, then held against the letters."""
+        _, first, kind = np.unique(self._hashes(codes, start, span), return_index=True, return_inverse=True)
+        like = first[kind]
+        if (span[like] == span).all() and (codes[np.arange(len(codes)) + np.repeat(start[like] - start, span)] == codes).all():
+            return first, kind
+        parts = [codes[a : a + n].tobytes() for a, n in zip(start.tolist(), span.tolist())]  # two have one hash
+        known = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+        kind = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        return np.unique(kind, return_index=True)[1], kind
+
+    def decode_flat(self, edge: np.ndarray, values: np.ndarray) -> list[bytes]:
+        """The UTF-8 bytes of each text whose ids are values[edge[k]:edge[k + 1]], without the space that was put before
+        it; bytes pieces as they are, so these may not be valid."""
+        start, long = self.edge[values], self.edge[values + 1] - self.edge[values]
+        total = np.concatenate([[0], np.cumsum(long)])
+        data = self.surface[np.repeat(start - total[:-1], long) + np.arange(total[-1])]
+        low = total[edge]
+        full = np.flatnonzero(edge[1:] > edge[:-1])
+        if self.prefix:
+            spaced = full[self.spaced[values[edge[full]]]]
+            low = low.copy()
+            low[spaced] += 1  # the mark of a space is the first byte of what its piece decodes to
+        raw = data.tobytes()
+        return [raw[a:b] for a, b in zip(low[:-1].tolist(), total[edge[1:]].tolist())]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: runs of byte pieces as UTF-8, without the space that was put before a text."""
-        if self.byte_ids.isdisjoint(ids):
-            text = "".join(map(self.surface.__getitem__, ids))
-        else:
-            out, run = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    run.append(self.byte_of[i])
-                    continue
-                out += [run.decode("utf-8", "replace"), self.surface[i]]
-                run = bytearray()
-            text = "".join([*out, run.decode("utf-8", "replace")])
-        return text[1:] if self.prefix and text[:1] == " " and ids and self.names[ids[0]][:1] == SPACE else text
+        return self.decode_flat(np.array([0, len(ids)]), np.array(ids, np.int64))[0].decode("utf-8", "replace")
 
 
 def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
@@ -360,6 +429,19 @@ def _pieces(model: bytes) -> Pieces:
     return _loaded[key]
 
 
+def _pooled(batches):
+    """Arrow batches joined to larger ones."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= POOL_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, ids) for every row of ``docs(doc_id, text)``.
 
@@ -371,7 +453,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         p = _pieces(model.value)
-        for b in batches:
+        for b in _pooled(batches):
             edge, values = p.encode_flat(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values))], ["doc_id", "ids"])
 
@@ -386,7 +468,10 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         p = _pieces(model.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+            ids = b.column("ids")
+            edge = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            texts = p.decode_flat(edge, ids.flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], ["doc_id", "text"])
 
     return arrow(rows.select(F.col("doc_id").cast("long"), "ids"), run, "doc_id long, text string")
 
@@ -402,13 +487,12 @@ def round_trips(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         p = _pieces(model.value)
-        for b in batches:
+        for b in _pooled(batches):
             texts = b.column("text").to_pylist()
             edge, values = p.encode_flat(texts)
-            ids = [values[a:z] for a, z in zip(edge, edge[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(edge)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([p.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)], pa.bool_())],
-                ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
-            )
+            raw = values.astype("<i4").tobytes()
+            digest = [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in zip(edge.tolist(), edge[1:].tolist())]
+            back = [x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(p.decode_flat(edge, values), texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(edge)), pa.array(digest, pa.string()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")

@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
@@ -45,11 +46,25 @@ def test_unigram_model_gives_the_library_ids(fallback):
     m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
     library, mine = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), pieces.Pieces(m.SerializeToString())
     texts = ["".join(rng.choice("abcde abcdexé") for _ in range(rng.randint(0, 90))) for _ in range(800)] + ["abcde" * 60]
-    score = lambda ids: sum(mine.unknown_score if i == 0 or i in mine.byte_of else mine.score[i] for i in ids)
+    score = lambda ids: sum(mine.unknown_score if i == 0 or i in mine.bytes.values() else mine.score[i] for i in ids)
     for a, b in zip(mine.encode(texts), library.encode(texts)):
         assert a == b or sorted(a) == sorted(b) and abs(score(a) - score(b)) < 1e-3  # the same sum in another order
 
 
+def test_parts_with_one_hash_are_told_apart_by_their_letters(model, monkeypatch):
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Pieces(model)
+    monkeypatch.setattr(pieces.Pieces, "_hashes", staticmethod(lambda codes, start, span: span % 3))
+    assert own.encode(samples()) == library.encode(samples())
+
+
+def test_the_test_tables_get_the_library_ids(model):
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    texts = pq.read_table(path, columns=["text"])["text"].to_pylist()
+    assert pieces.Pieces(model).encode(texts) == sentencepiece.SentencePieceProcessor(model_proto=model).encode([t or "" for t in texts])
+
+
 def test_queries_keep_every_row(spark, model):
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     rows = [(1, "Hello  world\n"), (2, None), (3, ""), (None, "é x"), (1, "Hello  world\n"), (4, "long words " * 20_000), (5, "x" * 30_000), (6, "a▁b")]
