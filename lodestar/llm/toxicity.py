@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from dataclasses import dataclass, field
+from statistics import median
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, fold
+from .common import arrow, fold, materialize, partitions
 from .quality import sample_labels
 
 #: The bounded sample that is learned from: labelled documents of each class.
 SAMPLE_EACH = 5000
 #: A document counts as toxic from this score on.
 TOXIC = 0.7
-#: A term is learned if this many toxic documents that no stronger term explains have it, and it is that many times as
-#: frequent in toxic documents as in others, and if such a run of toxic documents alone would be as unlikely as e**-CHANCE
-#: for a word of no meaning; the most candidates weighed up.
-SUPPORT, ODDS, CHANCE, CANDIDATES = 5, 15.0, 16.0, 3000
+#: A term is learned if this many toxic documents that no stronger term explains have it, and it makes up that many times as
+#: much of their words as of others', and if such a run of toxic documents alone would be as unlikely as e**-CHANCE
+#: for a word of no meaning.
+SUPPORT, ODDS, CHANCE = 5, 15.0, 16.0
 #: Lengths of word beginnings that may be learned as stems; words looked at around a match; states and words kept.
 STEMS, AROUND, KEPT = range(4, 9), 6, 300_000
 #: Words: letters, digits and whatever else isn't ASCII, but for the usual marks between words.
@@ -127,15 +130,57 @@ class Automaton:
         return got
 
 
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 @dataclass
 class Model:
-    """Terms with the chance that a document with one is toxic, spellings that are known to be innocent, and factors."""
+    """Terms with the chance that a document with one is toxic, and what is known of matches in general.
+
+    ``innocent``: spellings that are known to be none; ``base``: the score without a match; ``quoted`` and ``misspelled``:
+    how much of a term's evidence is left in a quotation, and after each edit; ``loose``: the most that a misspelling of
+    a term says; ``share``: of toxic documents; ``density``: of matches among the words of a typical toxic document;
+    ``slope`` and ``offset`` (None: that of ``share``) make a chance of the evidence.
+    """
 
     terms: dict[str, float] = field(default_factory=dict)
     innocent: frozenset = frozenset()
     base: float = 0.05
     quoted: float = 0.3
     misspelled: float = 0.9
+    loose: dict[str, float] = field(default_factory=dict)
+    share: float = 0.05
+    density: float = 0.02
+    slope: float = 1.0
+    offset: float | None = None
+
+    def evidence(self, n: int, found: list[tuple[str, int, bool]]) -> float:
+        """The log likelihood ratio of matches (term, edits, quoted) among ``n`` words.
+
+        Each match counts by its term. Against them stands how many there should be: a toxic text has them at ``density``,
+        or at the rate at hand if that is less, which makes each of them less telling. So a word that long harmless texts
+        have now and then says little there, and a term that harmless texts never have says much anywhere. Of all quoted
+        matches the strongest counts.
+        """
+        total = count = most = 0.0
+        for term, e, q in found:
+            own = logit(min(0.9999, self.terms[term])) - logit(self.share)
+            if e:
+                own = min(own * self.misspelled**e, self.loose.get(term, math.inf))
+            if q:
+                most = max(most, own)
+            elif own > 0:
+                total, count = total + own, count + (self.misspelled**e if e else 1)
+        total, count = total + self.quoted * most, count + self.quoted * (most > 0)
+        if not count:
+            return 0.0
+        rate = min(self.density, count / n)
+        return total + count * math.log(rate / self.density) - n * rate
+
+    def chance(self, evidence: float) -> float:
+        x = (logit(self.share) if self.offset is None else self.offset) + self.slope * evidence
+        return round(1 / (1 + math.exp(-max(-60.0, min(60.0, x)))), 6)
 
 
 def plain(word: str) -> str:
@@ -161,58 +206,85 @@ def matches(text: str | None, lexicon: Automaton, innocent: frozenset = frozense
     return {w: m for w in different if (p := plain(w)) not in innocent and (m := lexicon.match(p))}
 
 
-def hits(text: str | None, lexicon: Automaton, innocent: frozenset = frozenset()) -> list[tuple[str, str, int, bool]]:
-    """(word, term, edits, quoted) of each place in the text where a word stands for a term."""
+def hits(text: str | None, lexicon: Automaton, innocent: frozenset = frozenset()) -> tuple[int, list[tuple[str, int, bool]]]:
+    """(words, [(term, edits, quoted)]) of a text: a word between the same two words again counts once, in both."""
     known = matches(text, lexicon, innocent)
     if not known:
-        return []
+        return 0, []
     low = text.lower()
     found = list(WORD.finditer(low))
-    return [(m[0], *known[m[0]], quoted(low, found, k)) for k, m in enumerate(found) if m[0] in known]
+    spelled = ["", *(m[0] for m in found), ""]
+    seen, out = set(), []
+    for k, three in enumerate(zip(spelled, spelled[1:], spelled[2:])):
+        if three not in seen:
+            seen.add(three)
+            if three[1] in known:
+                out.append((*known[three[1]], quoted(low, found, k)))
+    return len(seen), out
 
 
 def score(text: str | None, model: Model, lexicon: Automaton) -> float:
-    """The chance that some match is abuse, or that the text is toxic without one: matches count as independent, less
-    for each misspelling and for a quotation."""
-    clear = math.log1p(-model.base)
-    for _, term, e, q in hits(text, lexicon, model.innocent):
-        clear += math.log1p(-min(0.999, model.terms[term] * model.misspelled**e * (model.quoted if q else 1)))
-    return min(1.0, max(0.0, 1 - math.exp(clear)))
+    """The chance that a text is toxic."""
+    n, found = hits(text, lexicon, model.innocent)
+    return model.chance(model.evidence(n, found)) if found else model.base
+
+
+def _places(text: str | None) -> tuple[int, dict[str, tuple[int, str]]]:
+    """(words, {word or stem: (how often, the words around its first place)}): as in ``hits``, repeats count once."""
+    out: dict[str, tuple[int, str]] = {}
+    found = WORD.findall((text or "").lower())
+    spelled, seen = ["", *found, ""], set()
+    for k, three in enumerate(zip(spelled, spelled[1:], spelled[2:])):
+        if three in seen:
+            continue
+        seen.add(three)
+        w = three[1]
+        if len(w) < 3 or not w.isalpha():
+            continue
+        for t in (w, *(w[:n] + "*" for n in STEMS if n < len(w))):
+            n, beside = out.get(t) or (0, " ".join(found[max(0, k - 1) : k + 2 : 2]))
+            out[t] = n + 1, beside
+    return len(seen), out
 
 
 def _candidates(text: str | None) -> dict[str, str]:
     """Words and stems of a text, each with the words around its first place: copies of a text have the same ones."""
-    out: dict[str, str] = {}
-    found = WORD.findall((text or "").lower())
-    for k, w in enumerate(found):
-        if w not in out and len(w) >= 3 and w.isalpha():
-            beside = " ".join(found[max(0, k - 1) : k + 2 : 2])
-            out[w] = beside
-            for n in STEMS:
-                if n < len(w):
-                    out.setdefault(w[:n] + "*", beside)
-    return out
+    return {t: beside for t, (_, beside) in _places(text)[1].items()}
+
+
+def _shares(text: str | None) -> dict[str, int]:
+    """The share of each word and stem among the words of a text, in millionths."""
+    n, found = _places(text)
+    return {t: 1_000_000 * c // n for t, (c, _) in found.items()}
+
+
+_TALLY = "term string, clean long, toxic long, clean_share long, toxic_share long"
 
 
 def _tally(batches, what):
+    """For each of what ``what`` finds in texts: documents of both classes, and the sums of the values there."""
     for b in batches:
         counts: dict[str, list[int]] = {}
         for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
-            for t in what(text):
-                counts.setdefault(t, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["term", "clean", "toxic"])
+            for t, v in what(text).items():
+                c = counts.setdefault(t, [0, 0, 0, 0])
+                c[label] += 1
+                c[2 + label] += v
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4))], ["term", "clean", "toxic", "clean_share", "toxic_share"])
 
 
-def choose(clean: dict[str, int], toxic: list[dict[str, str]], n_clean: int, share: float) -> dict[str, float]:
+def choose(clean: dict[str, int], toxic: list[dict[str, str]], n_clean: int, share: float, ratios: dict[str, float] | None = None) -> dict[str, float]:
     """Terms out of candidates, with the chance that a document with one is toxic.
 
     ``clean`` counts the clean documents with a candidate, ``toxic`` has the candidates in each toxic document and
     the words beside them; a candidate's support is the number of different such surroundings, so that copies count
-    once. The term that explains most is taken, then the one that explains most of the documents that are left, and
-    so on: so words that only stand in the same documents are not taken. Of candidates that explain the same, a word goes
-    before a stem and a longer stem before a shorter one. Those with a fifth of the largest support at least are taken
-    in any case, unless a stem or most of a stem is. As a stem is spelled exactly, the candidate words that begin with
-    one stand beside it, if they are as telling by themselves: so these may be misspelled like any other word.
+    once. ``ratios`` has how many times as much of toxic documents' words as of others' a candidate makes up; without
+    it, documents with the candidate are compared. The term that explains most is taken, then the one that explains most
+    of the documents that are left, and so on: so words that only stand in the same documents are not taken. Of candidates
+    that explain the same, a word goes before a stem and a longer stem before a shorter one. Those with a fifth of the
+    largest support at least are taken in any case, unless a stem or most of a stem is. As a stem is spelled exactly, the
+    candidate words that begin with one stand beside it, if they are as telling by themselves: so these may be misspelled
+    like any other word.
     """
     n_toxic = len(toxic)
     need = max(SUPPORT, math.ceil(CHANCE / math.log1p(n_clean / n_toxic)))
@@ -221,55 +293,78 @@ def choose(clean: dict[str, int], toxic: list[dict[str, str]], n_clean: int, sha
         for t, beside in own.items():
             at.setdefault(t, {})[i] = beside
     size = lambda s: len(set(s.values()))
-    rate = {t: (clean.get(t, 0) + 0.5) / (n_clean + 1) for t in at}
     whole = {t: size(s) for t, s in at.items()}
-    chance = {t: share * n / n_toxic / (share * n / n_toxic + (1 - share) * rate[t]) for t, n in whole.items()}
-    left, out = {t: s for t, s in at.items() if chance[t] >= TOXIC}, {}
-    while left:
-        now = {t: size(s) for t, s in left.items()}
-        best = max(left, key=lambda t: (now[t] * math.log(max(1e-9, now[t] / n_toxic / rate[t])), not t.endswith("*"), len(t), t))
-        own = left.pop(best)
-        if now[best] < need:
-            break
-        if now[best] / n_toxic / rate[best] < ODDS:
+    ratio = ratios or {t: n / n_toxic / ((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in whole.items()}
+    chance = {t: share * ratio[t] / (share * ratio[t] + 1 - share) for t in at}
+    good = [t for t in at if chance[t] >= TOXIC and ratio[t] >= ODDS and whole[t] >= need]
+    worth = lambda t, n: n * math.log(max(1.0, ratio[t] * n / whole[t]))
+    # what a candidate explains only shrinks as documents go: one that is still first after a new count is the best
+    order = lambda t, n: (-worth(t, n), t.endswith("*"), -len(t), t, n)
+    heap, gone, out = [order(t, whole[t]) for t in good], set(), {}
+    heapq.heapify(heap)
+    while heap:
+        *_, t, n = heapq.heappop(heap)
+        now = size({i: b for i, b in at[t].items() if i not in gone})
+        if now < need or ratio[t] * now / whole[t] < ODDS:
+            continue
+        if now < n:
+            heapq.heappush(heap, order(t, now))
             continue
-        out[best] = chance[best]
-        left = {t: r for t, s in left.items() if len(r := {i: b for i, b in s.items() if i not in own}) >= need}
+        out[t] = chance[t]
+        gone.update(at[t])
     most = max((whole[t] for t in out), default=0)
-    for t in sorted(at, key=lambda t: (-whole[t], t.endswith("*"), -len(t), t)):
-        if t in out or whole[t] < max(need, most / 5) or chance[t] < TOXIC or whole[t] / n_toxic / rate[t] < ODDS:
+    begun = {t[:n] for t in out for n in STEMS}
+    for t in sorted(good, key=lambda t: (-whole[t], t.endswith("*"), -len(t), t)):
+        if t in out or whole[t] < most / 5:
             continue
         bare = t.rstrip("*")
-        if any(bare[:n] + "*" in out for n in STEMS if n <= len(bare)) or t.endswith("*") and any(o.startswith(bare) for o in out):
+        if any(bare[:n] + "*" in out for n in STEMS if n <= len(bare)) or t.endswith("*") and bare in begun:
             continue
         out[t] = chance[t]
+        begun.update(t[:n] for n in STEMS)
     stems = tuple(t[:-1] for t in out if t.endswith("*"))
-    beside = (t for t in at if not t.endswith("*") and t.startswith(stems) and chance[t] >= TOXIC and whole[t] / n_toxic / rate[t] >= ODDS)
+    beside = (t for t in at if not t.endswith("*") and t.startswith(stems) and chance[t] >= TOXIC and ratio[t] >= ODDS)
     return out | {t: chance[t] for t in beside}
 
 
+def calibrate(x: np.ndarray, toxic: np.ndarray, share: float, rows: tuple[int, int]) -> tuple[float, float]:
+    """(slope, offset) that make chances of evidence: logistic regression near the slope 1 and the offset of ``share``."""
+    w = np.where(toxic, share / rows[1], (1 - share) / rows[0]) * sum(rows)
+    z, b, first = np.stack([x, np.ones(len(x))], axis=1), np.array([1.0, logit(share)]), np.array([1.0, logit(share)])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -40, 40)))
+        grad = z.T @ (w * (p - toxic)) + 5.0 * (b - first)
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + 5.0 * np.eye(2), grad)
+        b = b - step * min(1.0, 2 / (np.linalg.norm(step) + 1e-9))
+    return max(0.05, float(b[0])), float(b[1])
+
+
 def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:
     """A model from ``labels(doc_id, toxic)``; without labels of both classes one that has no terms.
 
-    At most ``each`` documents of either class are read for it, which bounds what is broadcast; terms are counted by
-    batch before they are shuffled, and CANDIDATES of them at most come to the driver,
-    with the lists of those in each toxic document of the sample.
+    At most ``each`` documents of either class are read for it, and only once: the sample is stored. That bounds what
+    is broadcast and all that comes to the driver: candidates, those in each toxic document of the sample, and the
+    matches in each document of it. None of them is cut off.
     """
     chosen, counts = sample_labels(labels, "toxic", 3, 1, each)
     if len(counts) < 2:
         return Model()
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = materialize(own, "toxic-sample")
     read = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = read.get(0, 0), read.get(1, 0)
     share = counts[1] / (counts[0] + counts[1])
     if not n_clean or not n_toxic:
         return Model(base=share)
-    schema = "term string, clean long, toxic long"
-    tally = lambda what: arrow(rows, lambda it: _tally(it, what), schema).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = F.col("toxic") * (n_clean + 1) / ((F.col("clean") + 0.5) * n_toxic)
-    often = tally(_candidates).where((F.col("toxic") >= SUPPORT) & (ratio >= ODDS)).orderBy(F.desc(F.col("toxic") * F.log(ratio)), "term").limit(CANDIDATES)
-    clean = {r.term: r.clean for r in often.collect()}
-    wanted = frozenset(clean)
+    rows = rows.repartition(partitions(docs.sparkSession))  # the sample may stand in a few files
+    sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "clean_share", "toxic_share")]
+    tally = lambda what: arrow(rows, lambda it: _tally(it, what), _TALLY).groupBy("term").agg(*sums)
+    # a share in the other class is at least that of half a typical document with one
+    typical = F.col("toxic_share") / F.col("toxic")
+    ratio = (F.col("toxic_share") / n_toxic) / ((F.col("clean_share") + typical / 2) / (n_clean + 1))
+    often = tally(_shares).where(F.col("toxic") >= SUPPORT).withColumn("ratio", ratio).where(F.col("ratio") >= ODDS)
+    ratios = {r.term: r.ratio for r in often.select("term", "ratio").collect()}
+    wanted = frozenset(ratios)
 
     def present(batches):
         for b in batches:
@@ -277,24 +372,43 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in x] for x in own], pa.list_(pa.string())), pa.array([[v for _, v in x] for x in own], pa.list_(pa.string()))], ["terms", "beside"])
 
     toxic = [dict(zip(r.terms, r.beside)) for r in arrow(rows.where("label = 1"), present, "terms array<string>, beside array<string>").collect()]
-    terms = choose(clean, toxic, n_clean, share)
+    terms = choose({}, toxic, n_clean, share, ratios) if ratios else {}
     if not terms:
         return Model(base=share)
     lexicon = Automaton(terms)
 
     def loose(text):
-        return {plain(w) for w, m in matches(text, lexicon).items() if m[1] > 0}
+        return {f"{plain(w)} {m[0]}": 1 for w, m in matches(text, lexicon).items() if m[1] > 0}
 
-    near = tally(loose).where(F.col("clean") * (n_toxic + 1) * 4 > F.col("toxic") * (n_clean + 1)).orderBy(F.desc("clean"), "term").limit(CANDIDATES)
-    innocent = frozenset(r.term for r in near.collect())
+    near = [(*r.term.split(" "), r.clean, r.toxic) for r in tally(loose).collect()]
+    innocent = frozenset(w for w, _, clean, toxic in near if clean * (n_toxic + 1) * 4 > toxic * (n_clean + 1))
+    model = Model(terms, innocent, share=share)
+    for t in terms:
+        clean, toxic = (sum(x[k] for x in near if x[1] == t) for k in (2, 3))
+        if clean >= SUPPORT:  # harmless words are spelled much alike
+            model.loose[t] = max(0.0, math.log((toxic + 0.5) / (clean + 0.5) * n_clean / n_toxic))
 
-    def kinds(text):
-        got = {("quoted" if q else "plain") if e == 0 else "loose" for _, _, e, q in hits(text, lexicon, innocent)}
-        return [next((k for k in ("plain", "loose", "quoted") if k in got), "none")]
-
-    by = {r.term: (r.clean, r.toxic) for r in tally(kinds).collect()}
-    rate = lambda k, a, b: ((q := (by.get(k, (0, 0))[1]) * share / max(1, n_toxic)) + a * 1e-4) / (q + by.get(k, (0, 0))[0] * (1 - share) / max(1, n_clean) + (a + b) * 1e-4)
-    return Model(terms, innocent, base=min(0.5, rate("none", 0.05, 0.95)), quoted=rate("quoted", 3, 7), misspelled=max(0.75, min(0.95, rate("loose", 9, 1))))
+    def found(batches):
+        for b in batches:
+            got = [hits(t, lexicon, innocent) for t in b.column("text").to_pylist()]
+            lists = [pa.array([[h[k] for h in x] for _, x in got], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([n for n, _ in got], pa.int64()), *lists], ["label", "n", "terms", "edits", "quoted"])
+
+    seen = arrow(rows, found, "label int, n long, terms array<string>, edits array<int>, quoted array<boolean>").collect()
+    seen = sorted((r.label, r.n, list(zip(r.terms, r.edits, r.quoted))) for r in seen)
+    by: dict[str, list[int]] = {k: [0, 0] for k in ("none", "plain", "loose", "quoted")}
+    for label, _, x in seen:
+        got = {"quoted" if q else "loose" if e else "plain" for _, e, q in x}
+        by[next((k for k in ("plain", "loose", "quoted") if k in got), "none")][label] += 1
+    rate = lambda k, a, b: ((q := by[k][1] * share / n_toxic) + a * 1e-4) / (q + by[k][0] * (1 - share) / n_clean + (a + b) * 1e-4)
+    left = lambda k, a, b: (logit(rate(k, a, b)) - logit(share)) / (logit(min(0.9999, median(terms.values()))) - logit(share))
+    model.base, model.quoted, model.misspelled = min(0.5, rate("none", 0.05, 0.95)), min(1.0, max(0.05, left("quoted", 3, 7))), min(1.0, max(0.5, left("loose", 9, 1)))
+    dense = [sum(not q and not e for _, e, q in x) / n for label, n, x in seen if label and x]
+    model.density = max(1e-4, median([d for d in dense if d] or [0.02]))
+    x = [(model.evidence(n, x), label) for label, n, x in seen if x]
+    if x:
+        model.slope, model.offset = calibrate(np.clip([v for v, _ in x], -20, 20), np.array([k for _, k in x], bool), share, (n_clean, n_toxic))
+    return model
 
 
 def evaluate(docs: DataFrame, model: Model) -> DataFrame:

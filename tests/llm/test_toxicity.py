@@ -93,3 +93,32 @@ def test_no_labels_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.classify(docs, labels).collect()] == [0]
     assert toxicity.classify(docs.limit(0), labels).collect() == []
+
+
+def test_what_long_harmless_texts_have_by_chance_says_little():
+    model = toxicity.Model({"grumb*": 0.9, "stupid": 0.99}, share=0.1, base=0.01)
+    lexicon = toxicity.Automaton(model.terms)
+    words = lambda n: [f"w{i}" for i in range(n)]
+    score = lambda w: toxicity.score(" ".join(w), model, lexicon)
+    assert score(words(400) + ["grumbling"]) < 0.5 < 0.7 < score(words(100) + ["grumbling", "a", "grumblish"])
+    assert score(words(400) + ["stupid"]) > score(words(400) + ["grumbling"])
+    line = ["so", "grumbling", "it", "is", *words(60)]
+    assert score(line * 50) == pytest.approx(score(line), abs=0.1)  # a line that repeats is no more telling
+
+
+def test_terms_are_not_cut_off(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bcdfgklmnprst", k=9))
+    insults, common = [word() for _ in range(800)], [word() for _ in range(200)]
+    rows, marks = [], []
+    for i in range(1000):
+        w = rng.choices(common, k=20)
+        if i % 2:
+            w += [insults[j] for j in range(800) if j % 10 == i // 2 % 10] + [f"x{i}"]
+            rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        marks.append((i, i % 2))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert set(insults) <= set(model.terms)
+    lexicon = toxicity.Automaton(model.terms)
+    assert all(toxicity.score(t, model, lexicon) >= 0.7 for (i, t) in rows if i % 2) and not any(toxicity.score(t, model, lexicon) >= 0.7 for (i, t) in rows if not i % 2)
