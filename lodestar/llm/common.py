@@ -86,17 +86,24 @@ def arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | Struc
     return df.mapInArrow(run, schema)
 
 
-#: Ids that may be broadcast: a long each.
+#: Rows that may be broadcast to a filter: two longs each.
 BROADCAST_IDS = 400_000
 
 
+def text_key() -> Column:
+    """What tells apart texts that claim one doc_id, and rows without any."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long"))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone(doc_id)``; rows without doc_id all stay.
+    """The rows of ``docs`` whose doc_id and text aren't in ``gone(doc_id, text_key)``; rows without doc_id all stay.
 
-    Up to BROADCAST_IDS ids are broadcast, so that texts needn't be shuffled; more are joined by shuffle.
+    So of rows that share a doc_id only those with a text that has to go do. Up to BROADCAST_IDS keys are broadcast, so
+    that texts needn't be shuffled; more are joined by shuffle.
     """
-    ids = materialize(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "without")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+    keys = materialize(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "without")
+    own = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return docs.join(own, (docs["doc_id"].cast("long") == F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left_anti")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ascii_lower, materialize, without
+from .common import ascii_lower, materialize, text_key, without
 
 #: What stands between words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,86 +29,116 @@ def phrases(items: DataFrame, n: int = 8) -> DataFrame:
     return own.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {n}, 0)), i -> slice(w, i + 1, {n}))")).alias("phrase")).distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, count): how often each of ``terms(term)`` occurs in all documents; those that don't are left out."""
-    seen = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return seen.join(_small(terms.select("term")), "term", "left_semi").groupBy("term").count()
+#: Words to either side of a phrase's rarest term within which a proximity match has all the others.
+REACH = 7
+#: Positions are joined by blocks of this many, so that no term's list in a document meets another whole one.
+BLOCK = 16
+_DOC = ["doc_id", "text_key"]
 
 
-def rarest_terms(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, term, at): the rarest term of each of ``found(phrase)``, the first of equally rare ones, and where it is.
-
-    A phrase with a term that no document has can't occur and is left out.
-    """
-    parts = found.select("phrase", F.posexplode("phrase").alias("at", "term")).join(_small(counts), "term", "left")
-    best = parts.groupBy("phrase").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "term")).alias("b"))
-    return best.where("b.count > 0").select("phrase", F.col("b.term").alias("term"), F.col("b.at").alias("at"))
+def vocabulary(found: DataFrame) -> DataFrame:
+    """(term, term_id): the different terms of ``found(phrase)``, numbered."""
+    return materialize(found.select(F.explode("phrase").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("term_id")), "terms")
 
 
-def build_index(docs: DataFrame, terms: DataFrame, reach: int = 7) -> DataFrame:
-    """The stored index: a posting for each occurrence of ``terms(term)``, and one row for each document.
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: a posting (term_id, doc_id, text_key, pos) for each occurrence of ``terms(term, term_id)``, and the
+    length of each document.
 
-    A posting has (term, doc_id, text_key, pos) and as its payload the ``reach`` words to either side, ``around``,
-    of which ``before`` come first; so lists of other, frequent terms need not be stored to be intersected with
-    it. Document rows have a null term and n_words. text_key tells apart texts that claim one doc_id.
+    Lists of words that no phrase has would never be looked up and are left out. A document's first row, which may be no
+    posting, has n_words; doc_id is 0 where it is null, and ``none`` then says so. Only single words are ever shuffled, if
+    the terms are too many to be broadcast.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
-    each = base.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("pos", "term"))
-    known = _small(terms.select("term").distinct().withColumn("known", F.lit(True)))
-    hits = each.join(known, "term", "left").where("known OR pos = 0 OR pos IS NULL")
-    before = F.least("pos", F.lit(reach))
-    rows = hits.select(
-        F.when(F.col("known"), F.col("term")).alias("term"), "doc_id", "text_key", "pos",
-        F.when(F.col("known"), before).alias("before"),
-        F.when(F.col("known"), F.slice("w", F.col("pos") - before + 1, before + reach + 1)).alias("around"),
-        F.when(F.coalesce("pos", F.lit(0)) == 0, F.size("w").cast("long")).alias("n_words"),
-    )
+    base = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), words(F.col("text")).alias("w"))
+    each = base.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
+    hits = each.join(_small(terms), "term", "left").where("term_id IS NOT NULL OR pos = 0 OR pos IS NULL")
+    rows = hits.select("term_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text_key", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n_words")).alias("n_words"))
     return materialize(rows, "postings")
 
 
-def exact_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """(doc_id, text_key, phrase, start, n): all occurrences of ``rare(phrase, term, at)``.
+def places(found: DataFrame, index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(phrase_id, n, rank, term_id, at) of ``found(phrase_id, phrase)``: the terms of each phrase, the rarest first.
 
-    Each posting of a phrase's rarest term, less the term's offset, is a candidate start; it stays if the payload
-    has every other term at the start plus that term's offset.
+    Rarity is the length of a term's list in the index; of equally rare terms the first in the phrase goes first. A phrase
+    with a term that no document has can't occur and is left out.
     """
-    at = index.where("term IS NOT NULL").join(_small(rare), "term").where("before >= at")
-    return at.where("slice(around, before - at + 1, size(phrase)) = phrase").select("doc_id", "text_key", "phrase", (F.col("pos") - F.col("at")).alias("start"), F.size("phrase").alias("n"))
-
-
-def proximity_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """(doc_id, text_key, phrase, pos): occurrences of the rarest term with all other terms, in any order, within reach."""
-    at = index.where("term IS NOT NULL").join(_small(rare), "term")
-    return at.where("size(array_except(phrase, around)) = 0").select("doc_id", "text_key", "phrase", "pos")
+    counts = index.where("term_id IS NOT NULL").groupBy("term_id").count()
+    parts = found.select("phrase_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("at", "term")).join(_small(terms), "term")
+    known = parts.join(_small(materialize(counts, "counts")), "term_id", "left")
+    whole = W.partitionBy("phrase_id")
+    ranked = known.withColumn("rank", F.row_number().over(whole.orderBy("count", "at")) - 1).withColumn("least", F.min(F.coalesce("count", F.lit(0))).over(whole))
+    return materialize(ranked.where("least > 0").select("phrase_id", "n", "rank", "term_id", "at"), "places")
+
+
+def _near(need: DataFrame, lists: DataFrame) -> DataFrame:
+    """``need(doc_id, text_key, pos, term_id, ...)`` with ``there``: each posting of the term within REACH of pos. Both meet
+    on a block of BLOCK positions, so what one row can meet is bounded."""
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("pos") + d) / BLOCK) for d in (-REACH, REACH)]))
+    wide = need.withColumn("block", F.explode(blocks))
+    own = lists.select(*_DOC, "term_id", F.floor(F.col("pos") / BLOCK).alias("block"), F.col("pos").alias("there"))
+    return wide.join(own, [*_DOC, "term_id", "block"]).where(f"abs(there - pos) <= {REACH}").drop("block")
+
+
+def matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(phrase_id, doc_id, text_key, start, n, exact): where all terms of a phrase of ``places`` stand within REACH of its
+    rarest one. ``exact``: each at its offset, so the phrase itself begins at ``start``; else in any order or distance.
+
+    Lists are intersected from the rarest term on. The postings of the rarest terms meet those of the second rarest, for
+    each pair of terms once, however many overlapping phrases have it; only what is left meets the lists of the others,
+    each posting less its term's offset, and in documents that still have something only.
+    """
+    postings = index.where("term_id IS NOT NULL").select(*_DOC, "term_id", "pos")
+    by_rank = lambda k: ranked.where(F.col("rank") == k)
+    first = by_rank(0).select("phrase_id", "n", F.col("term_id").alias("t0"), F.col("at").alias("at0"))
+    single = postings.join(_small(first.where("n = 1")), F.col("term_id") == F.col("t0")).select("phrase_id", *_DOC, F.col("pos").alias("start"), "n", F.lit(True).alias("exact"))
+    heads = first.join(by_rank(1).select("phrase_id", F.col("term_id").alias("t1")), "phrase_id")
+    pairs = heads.select("t0", "t1").distinct()
+    anchors = postings.join(_small(pairs), F.col("term_id") == F.col("t0")).select(*_DOC, "pos", "t0", F.col("t1").alias("term_id"))
+    second = postings.join(_small(pairs.select(F.col("t1").alias("term_id")).distinct()), "term_id", "left_semi")
+    met = materialize(_near(anchors, second).select(*_DOC, "pos", "t0", F.col("term_id").alias("t1")).distinct(), "pairs")
+    need = met.join(_small(heads), ["t0", "t1"]).select("phrase_id", "n", *_DOC, "pos", "at0")
+    need = need.join(_small(ranked.where("rank > 0").select("phrase_id", "rank", "term_id", "at")), "phrase_id")
+    rest = postings.join(_small(met.select(*_DOC).distinct()), _DOC, "left_semi")
+    bit = F.expr("shiftleft(1L, rank)")
+    here = F.col("there") - F.col("pos") == F.col("at") - F.col("at0")
+    found = _near(need, rest).groupBy("phrase_id", "n", *_DOC, "pos", "at0").agg(F.bit_or(bit).alias("near"), F.bit_or(F.when(here, bit).otherwise(F.lit(0).cast("long"))).alias("there"))
+    full = found.where("bit_count(near) = n - 1").select("phrase_id", *_DOC, (F.col("pos") - F.col("at0")).alias("start"), "n", F.expr("bit_count(there) = n - 1").alias("exact"))
+    return single.unionByName(full)
+
+
+def _per_document(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``contamination`` without its last column, and with the ``text_key`` of each row."""
+    by_item = phrases(items, n)
+    own = materialize(by_item.select("phrase").distinct().select(F.monotonically_increasing_id().alias("phrase_id"), "phrase"), "phrases")
+    names = materialize(by_item.join(own, "phrase").where("item_id IS NOT NULL").select("phrase_id", F.col("item_id").cast("string").alias("item")), "items")
+    terms = vocabulary(own)
+    index = build_index(docs, terms)
+    found = materialize(matches(index, places(own, index, terms)).distinct(), "matches")
+    order = W.partitionBy(*_DOC).orderBy("start", "n").rowsBetween(W.unboundedPreceding, -1)
+    spans = found.where("exact").select(*_DOC, "start", "n").distinct().withColumn("seen", F.max(F.col("start") + F.col("n")).over(order))
+    hit = spans.groupBy(*_DOC).agg(F.sum(F.expr("greatest(0, start + n - greatest(start, coalesce(seen, 0)))")).alias("n_hit"))
+    named = found.groupBy(*_DOC, "phrase_id").agg(F.max("exact").alias("exact")).join(_small(names), "phrase_id").groupBy(*_DOC, "item").agg(F.max("exact").alias("exact"))
+    listed = named.groupBy(*_DOC).agg(F.count_if("exact").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item"))))), 256).alias("items_sha256"), F.count("*").alias("n_near"))
+    sums = listed.join(hit, _DOC, "left").withColumnsRenamed({c: f"_{c}" for c in _DOC})
+    out = index.where("n_words IS NOT NULL").select(*_DOC, "none", "n_words")
+    out = out.join(sums, (F.col("doc_id") == F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text_key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.expr("sha2('', 256)")).alias("items_sha256"), zero("n_near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs(doc_id, text)``.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, n_near, contaminated) for every row of ``docs(doc_id, text)``.
 
-    n_hit counts the words inside any occurrence of an item's window of ``n`` words, n_items the items with such a
-    window; contaminated means ``least`` items or more. Null and empty texts have no words and no hits; items
-    without words, and repeated items, add nothing; a null item_id is not counted as an item. Rows that repeat a
-    doc_id and its text each come out, with the same figures. Other columns are ignored.
+    n_hit counts the words inside any occurrence of an item's window of ``n`` words (63 at most), n_items the items with
+    such a window, n_near those with a window all of whose words stand, in any order, within REACH of its rarest one;
+    contaminated means ``least`` items or more. Null and empty texts have no words and no hits; items without words, and
+    repeated items, add nothing; a null item_id is not counted as an item. Rows that repeat a doc_id and its text each come
+    out, with the same figures. Other columns are ignored.
     """
-    by_item = materialize(phrases(items, n), "phrases")
-    own = by_item.select("phrase").distinct()
-    terms = own.select(F.explode("phrase").alias("term")).distinct()
-    counts = materialize(term_counts(docs, terms), "counts")
-    rare = materialize(rarest_terms(own, counts), "rarest")
-    index = build_index(docs, rare.select("term"), n - 1)
-    found = materialize(exact_matches(index, rare).distinct(), "matches")
-    doc = ["doc_id", "text_key"]
-    order = W.partitionBy(*doc).orderBy("start", "n").rowsBetween(W.unboundedPreceding, -1)
-    spans = found.select(*doc, "start", "n").distinct().withColumn("seen", F.max(F.col("start") + F.col("n")).over(order))
-    hit = spans.groupBy(*doc).agg(F.sum(F.expr("greatest(0, start + n - greatest(start, coalesce(seen, 0)))")).alias("n_hit"))
-    named = found.select(*doc, "phrase").distinct().join(_small(by_item), "phrase").where("item_id IS NOT NULL").select(*doc, F.col("item_id").cast("string").alias("item")).distinct()
-    listed = named.groupBy(*doc).agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
-    sums = hit.alias("h").join(listed.alias("l"), F.expr("h.doc_id <=> l.doc_id AND h.text_key = l.text_key"), "left").selectExpr("h.doc_id AS d", "h.text_key AS k", "n_hit", "n_items", "items_sha256")
-    out = index.where("n_words IS NOT NULL").select(*doc, "n_words").join(sums, F.expr("doc_id <=> d AND text_key = k"), "left")
-    none = "sha2('', 256)"
-    return out.select("doc_id", "n_words", F.expr("coalesce(n_hit, 0L)").alias("n_hit"), F.expr("coalesce(n_items, 0L)").alias("n_items"), F.expr(f"coalesce(items_sha256, {none})").alias("items_sha256"), F.expr(f"coalesce(n_items, 0L) >= {least}").alias("contaminated"))
+    found = _per_document(docs, items, n).withColumn("contaminated", F.col("n_items") >= least)
+    return found.drop("text_key")
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't contaminated; rows without doc_id all stay."""
-    return without(docs, contamination(docs.select("doc_id", "text"), items, n, least).where("contaminated"))
+    """The rows of ``docs`` that aren't contaminated; rows without doc_id all stay."""
+    return without(docs, _per_document(docs.select("doc_id", "text"), items, n).where(F.col("n_items") >= least))

@@ -75,13 +75,29 @@ ORACLE_SQL = {
             SELECT doc_id, item_id, s.n, i FROM s JOIN p ON s.phrase = p.phrase AND s.n = p.n
         ), h AS (
             SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY doc_id
+        ), u AS (
+            SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d
+        ), f AS (
+            SELECT phrase, item_id, term, min(spot) AS spot, any_value(freq) AS freq
+            FROM (SELECT phrase, item_id, unnest(w) AS term, unnest(range(0, len(w))) AS spot FROM (SELECT phrase, item_id, string_split(phrase, ' ') AS w FROM p))
+            LEFT JOIN (SELECT term, count(*) AS freq FROM u GROUP BY term) USING (term) GROUP BY phrase, item_id, term
+        ), r AS (
+            SELECT phrase, item_id, term, count(*) OVER (PARTITION BY phrase, item_id) AS terms, count(freq) OVER (PARTITION BY phrase, item_id) AS found,
+                row_number() OVER (PARTITION BY phrase, item_id ORDER BY freq, spot) AS rank FROM f
+        ), x AS (
+            SELECT doc_id, pos, phrase, item_id, terms FROM r JOIN u USING (term) WHERE rank = 1 AND found = terms
+        ), y AS (
+            SELECT x.doc_id, x.item_id FROM x JOIN r ON r.phrase = x.phrase AND r.item_id = x.item_id JOIN u ON u.doc_id = x.doc_id AND u.term = r.term AND abs(u.pos - x.pos) <= 7
+            GROUP BY x.doc_id, x.item_id, x.phrase, x.pos HAVING count(DISTINCT r.term) = any_value(x.terms)
+        ), v AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_near FROM y GROUP BY doc_id
         ), t AS (
             SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
             FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-            coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+            coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_near, 0) AS n_near, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN v USING (doc_id)""",
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
