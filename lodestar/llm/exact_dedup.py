@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow, materialize, small_batches, without
+from .common import SPACES, arrow, materialize, small_batches, text_key, without
 
 _DROP = SPACES.encode()
 #: Mean number of digests in a shard of the hash, and in a bucket of a shard.
@@ -21,12 +21,13 @@ def _digests(batches):
     for b in batches:
         texts = [(t or "") for t in b.column("text").to_pylist()]
         digest = [hashlib.sha256(t.encode("utf-8", "surrogatepass").translate(None, _DROP)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "digest", "n"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(digest, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "text_key", "digest", "n"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n): SHA-256 of each text without white space, and the code points of the text itself."""
-    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _digests, "doc_id long, digest binary, n long")
+    """(doc_id, text_key, digest, n): SHA-256 of each text without white space, and the code points of the text itself."""
+    own = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
+    return arrow(own, _digests, "doc_id long, text_key long, digest binary, n long")
 
 
 def _number(at: int, size: int) -> Column:
@@ -114,7 +115,7 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, int]:
 
 
 def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """``rows(doc_id, digest, n)`` with (member, keep_id, size) from the slot that the hash names.
+    """``rows(doc_id, text_key, digest, n)`` with (member, keep_id, size) from the slot that the hash names.
 
     A slot counts only if the digest in it is the row's, byte for byte. Skewed shards are split by the adaptive join.
     """
@@ -125,7 +126,23 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     d0, d1, n = F.get("d0", bucket), F.get("d1", bucket), F.col("n_slots")
     slot = F.get("slots", ((part(8) % n + d0 * (part(14) % n) + d1) % n).cast("int"))
     hit = F.coalesce(slot["digest"] == F.col("digest"), F.lit(False))
-    return base.select("doc_id", "digest", rows["n"], hit.alias("member"), F.when(hit, slot["keep_id"]).alias("keep_id"), F.when(hit, slot["size"]).alias("size"))
+    return base.select("doc_id", "text_key", "digest", rows["n"], hit.alias("member"), F.when(hit, slot["keep_id"]).alias("keep_id"), F.when(hit, slot["size"]).alias("size"))
+
+
+def _verdicts(docs: DataFrame, history: DataFrame | None) -> DataFrame:
+    """``exact_duplicates`` with the ``text_key`` of each row."""
+    rows = materialize(digests(docs), "exact-digests")
+    past = rows if history is None else digests(history)
+    index, shards = build_index(past)
+    found = lookup(rows, index, shards)
+    own = history is None
+    same = F.col("keep_id").eqNullSafe(F.col("doc_id"))
+    verdict = lambda df, kept: df.select("doc_id", "text_key", "digest", "keep_id", F.col("size").alias("group_size"), kept.alias("kept"))
+    out = verdict(found.where("member"), same if own else F.lit(False))
+    if not own:
+        new = found.where("NOT member").select("doc_id", "text_key", "digest", "n")
+        out = out.unionByName(verdict(new.join(new.groupBy("digest").agg(*_winner()), "digest"), same))
+    return out.select("doc_id", "text_key", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -135,22 +152,12 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataF
     the most code points, then the smallest doc_id stays (a null doc_id only if there is no other). ``history`` is
     an earlier corpus of the same columns, over which the hash is built: a text in it is a repeat of the row that
     stayed there and ``kept`` is false. Texts that aren't members are grouped among themselves. Without a history
-    the table is its own. Rows that repeat a doc_id and its text share a verdict; other columns are ignored.
+    the table is its own. Rows of a doc_id whose texts are equal share a verdict, as keep_id names the doc_id alone;
+    other columns are ignored.
     """
-    rows = materialize(digests(docs), "exact-digests")
-    past = rows if history is None else digests(history)
-    index, shards = build_index(past)
-    found = lookup(rows, index, shards)
-    own = history is None
-    members = found.where("member").select("doc_id", "digest", "keep_id", F.col("size").alias("group_size"), (F.col("keep_id").eqNullSafe(F.col("doc_id")) if own else F.lit(False)).alias("kept"))
-    out = members
-    if not own:
-        new = found.where("NOT member").select("doc_id", "digest", "n")
-        groups = new.groupBy("digest").agg(*_winner())
-        out = members.unionByName(new.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("size").alias("group_size"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept")))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return _verdicts(docs, history).drop("text_key")
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; rows without doc_id all stay."""
-    return without(docs, exact_duplicates(docs.select("doc_id", "text")).where("NOT kept"))
+    return without(docs, _verdicts(docs.select("doc_id", "text"), None).where("NOT kept"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, components, materialize, without
+from .common import arrow, components, materialize, text_key, without
 
 SEED = 42
 #: Shingles hashed and counted at once, so that a very long text needs no more memory than this many.
@@ -38,12 +38,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def _fingerprints(batches, width=3):
     for b in batches:
         fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
-    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), lambda it: _fingerprints(it, width), "doc_id long, fp long")
+    """(doc_id, text_key, fp): the fingerprint of every row as a signed long."""
+    own = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
+    return arrow(own, lambda it: _fingerprints(it, width), "doc_id long, text_key long, fp long")
 
 
 def _keys(parts: int) -> tuple[str, str]:
@@ -99,6 +100,17 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = 256) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _labelled(docs: DataFrame, width: int) -> DataFrame:
+    """``near_duplicates`` with the ``text_key`` of each row."""
+    prints = materialize(fingerprints(docs, width), "simhash-prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    roots = components(links(nodes), "simhash-graph")
+    named = nodes.join(roots, nodes.fp == roots.node, "left").selectExpr("fp", "low", "coalesce(root, fp) AS root")
+    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    label = named.join(low, "root").select("fp", "component_id")
+    return prints.join(label, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``.
 
@@ -107,16 +119,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     fingerprint zero and are linked like any other; a null doc_id takes part but never names a component unless all
     in it are null; repeated rows come out as often as they came in; other columns are ignored.
     """
-    spark = docs.sparkSession
-    prints = materialize(fingerprints(docs, width), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    roots = components(links(nodes), "simhash-graph")
-    named = nodes.join(roots, nodes.fp == roots.node, "left").selectExpr("fp", "low", "coalesce(root, fp) AS root")
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.join(low, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs, width).drop("text_key")
 
 
 def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their near-duplicate component; rows without doc_id all stay."""
-    return without(docs, near_duplicates(docs.select("doc_id", "text"), width).where("doc_id <> component_id"))
+    return without(docs, _labelled(docs.select("doc_id", "text"), width).where("doc_id <> component_id"))

@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import common
+from lodestar.llm import common, exact_dedup, simhash
 
 
 def test_components_equal_union_find(spark):
@@ -28,14 +28,25 @@ def test_components_equal_union_find(spark):
 
 
 def test_without_gives_the_same_either_way(spark, monkeypatch):
-    docs = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(40)], "doc_id long, x int")
-    gone = spark.createDataFrame([(1,), (1,), (4,), (99,), (None,)], "doc_id long")
-    want = sorted(i for i in range(40) if not i % 5 or i % 7 not in (1, 4))
-    assert sorted(r.x for r in common.without(docs, gone).collect()) == want
+    rows = [(i % 7 if i % 5 else None, f"t{i % 2}" if i % 3 else None, i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    bad = [(1, "t0"), (1, "t0"), (4, None), (4, "t1"), (99, "t0"), (None, "t0")]
+    gone = spark.createDataFrame(bad, "doc_id long, text string").select("doc_id", common.text_key().alias("text_key"))
+    want = [i for d, t, i in rows if d is None or (d, t) not in bad]
+    assert sorted(r.x for r in common.without(docs, gone).collect()) == want and len(want) < 40
     monkeypatch.setattr(common, "BROADCAST_IDS", 1)
     assert sorted(r.x for r in common.without(docs, gone).collect()) == want
 
 
+def test_filters_tell_texts_of_one_doc_id_apart(spark):
+    rows = [(1, "some words"), (2, "some  words"), (2, "quite another text"), (3, "some words"), (None, "some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (exact_dedup.distinct_texts, simhash.representatives):
+        left = sorted((str(r.doc_id), r.text) for r in keep(docs).collect())
+        first = (2, "some  words") if keep is exact_dedup.distinct_texts else (1, "some words")
+        assert left == sorted((str(i), t) for i, t in [first, (2, "quite another text"), (None, "some words")])
+
+
 def test_folds_and_lower_case(spark):
     ids = [0, 7, -3, 123456789, None]
     got = [r.v for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(common.fold(F.col("doc_id"), 4).alias("v")).collect()]

@@ -49,7 +49,7 @@ def test_stages_match_brute_force(spark, corpus):
     left = [r for r in left if r[0] is None or r[0] in keep]
     named = brute_components([(r[0], r[1]) for r in left if r[0] is not None])
     left = [r for r in left if r[0] is None or named[r[0]][1] == r[0]]
-    bad = {r[0] for r in contaminated([(r[0], r[1]) for r in left], items) if r[5]}
+    bad = {r[0] for r in contaminated([(r[0], r[1]) for r in left], items) if r[-1]}
     left = [r for r in left if r[0] not in bad or r[0] is None]
     library = sentencepiece.SentencePieceProcessor(model_proto=Path(pieces.MODEL).read_bytes())
     want = sorted((str(r[0]), library.encode(r[1])) for r in left)
