@@ -14,7 +14,7 @@ def _within(x, low, high):
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults suit 128 dimensions. Values beyond their range are moved to its nearest end."""
+    """Defaults, which are fixed values as stores depend on them, suit 128 dimensions. Values beyond their range are moved to its nearest end."""
 
     dimension: int = 128
     lsh_num_tables: int = 8

@@ -27,8 +27,9 @@ def _criterion(n: np.ndarray, m2: np.ndarray) -> np.ndarray:
     return fit - 2.0 * used.sum(axis=-1) * np.log(np.maximum(np.where(used, n, 0).sum(axis=-1), 2.0))
 
 
-def pair_gains(segments: DataFrame, depth_cap: int) -> DataFrame:
-    """(left_id, right_id, gain, centroid_distance) of each two segments under the depth cap, the smaller id left.
+def pair_gains(segments: DataFrame, depth_cap: int, newest: int | None = None) -> DataFrame:
+    """(left_id, right_id, gain, centroid_distance) of each two segments under the depth cap, the smaller id left; with
+    ``newest``, the largest id, only the pairs with it.
 
     The catalogue, which has one row for a segment, goes out in blocks of BLOCK segments, and each of its rows is
     compared with those of a block at once.
@@ -36,10 +37,11 @@ def pair_gains(segments: DataFrame, depth_cap: int) -> DataFrame:
     spark = segments.sparkSession
     ship(spark)
     own = segments.where((F.col("depth") < depth_cap) & (F.col("vector_count") > 0)).select("segment_id", *(F.col(f"root_stats.{c}").alias(c) for c in ("n", "mean", "m2")))
-    blocks = -(-own.count() // BLOCK)
+    right = own if newest is None else own.where(F.col("segment_id") == newest)
+    blocks = -(-right.count() // BLOCK)
     parts = [spark.createDataFrame([], "left_id long, right_id long, gain double, centroid_distance double")]
     for k in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("segment_id"), F.lit(blocks)) == k).collect()
+        rows = right.where(F.pmod(F.xxhash64("segment_id"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast((np.array([r.segment_id for r in rows]), *(np.array([r[c] for r in rows], np.float64) for c in ("n", "mean", "m2"))))
 
         def run(batches, shared=shared):
@@ -63,7 +65,12 @@ def pair_gains(segments: DataFrame, depth_cap: int) -> DataFrame:
 
 def best_pair(segments: DataFrame, depth_cap: int) -> DataFrame:
     """The pair with the largest positive gain, the first by ids among equals; no row if there is none."""
-    return pair_gains(segments, depth_cap).where("gain > 0").orderBy(F.desc("gain"), "left_id", "right_id").limit(1)
+    return best_of(pair_gains(segments, depth_cap))
+
+
+def best_of(gains: DataFrame) -> DataFrame:
+    """The best of ``pair_gains``."""
+    return gains.where("gain > 0").orderBy(F.desc("gain"), "left_id", "right_id").limit(1)
 
 
 def merged_rows(codes: DataFrame, segments: DataFrame, left: int, right: int, new_id: int) -> DataFrame:

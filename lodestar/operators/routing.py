@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.arrowio import ship
+from ..functions.arrowio import matrix, ship
 
-#: Queries that go to executors at once.
-QUERY_BLOCK = 4096
+#: Queries that go to executors at once; scores that come back in one batch.
+QUERY_BLOCK, SCORES = 4096, 1 << 18
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK):
@@ -41,12 +42,13 @@ def root_scores(queries: DataFrame, segments: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             ids, q = shared.value
             for b in batches:
-                for seg, *post in zip(*(b.column(k).to_pylist() for k in ("segment_id", "mu", "nu", "sigma2", "logc"))):
-                    mu, nu, s2, logc = map(np.array, post)
-                    if len(mu) == q.shape[1]:
-                        d = q - mu
-                        s = (logc - (nu + 1) / 2 * np.log1p(d * d / (nu * s2))).sum(axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), seg)), pa.array(s)], ["query_id", "segment_id", "score"])
+                own = b.filter(pc.equal(pc.list_value_length(b.column("mu")), q.shape[1]))
+                seg, (mu, nu, s2, logc) = own.column("segment_id").to_numpy(), (matrix(own.column(k)) for k in ("mu", "nu", "sigma2", "logc"))
+                each = max(1, SCORES // len(ids))
+                for a in range(0, len(seg), each):
+                    part = range(a, min(a + each, len(seg)))
+                    s = np.concatenate([(logc[k] - (nu[k] + 1) / 2 * np.log1p((q - mu[k]) ** 2 / (nu[k] * s2[k]))).sum(axis=1) for k in part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(part))), pa.array(np.repeat(seg[a : a + each], len(ids))), pa.array(s)], ["query_id", "segment_id", "score"])
 
         post = segments.where("vector_count > 0").select("segment_id", *(F.col(f"root_post.{k}").alias(k) for k in ("mu", "nu", "sigma2", "logc")))
         parts.append(post.mapInArrow(run, "query_id long, segment_id long, score double"))

@@ -38,15 +38,19 @@ def finish(found: DataFrame, k: int, threshold: float | None = None) -> DataFram
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Which distances (q, n) may be among the k nearest different ids of each query; NaN is none. If ids repeat, all
-    rows of an id that is near enough stay, and ``finish`` settles them."""
-    n = d.shape[1]
-    out = ~np.isnan(d)
-    if n <= k or len(np.unique(ids)) < n:
-        return out
-    edge = np.partition(np.where(out, d, np.inf), k - 1, axis=1)[:, k - 1 : k] if k else np.full((len(d), 1), -np.inf)
-    return out & (d <= edge)
+def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances (q, different ids), those ids): for each query an id's least distance, and NaN for ids that can't be among
+    the k nearest. NaN in ``d`` is no distance."""
+    known, at = np.unique(ids, return_inverse=True)
+    if len(known) < len(ids):
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(known)))
+        d, ids = np.fmin.reduceat(d[:, order], first, axis=1), known
+    if d.shape[1] > k:
+        low = np.where(np.isnan(d), np.inf, d)
+        edge = np.partition(low, k - 1, axis=1)[:, k - 1 : k] if k else np.full((len(d), 1), -np.inf)
+        d = np.where(low <= edge, d, np.nan)
+    return d, ids
 
 
 def exact_knn(rows: DataFrame, queries: DataFrame, k: int, metric: str | Callable = "l2", threshold: float | None = None) -> DataFrame:
@@ -71,8 +75,8 @@ def exact_knn(rows: DataFrame, queries: DataFrame, k: int, metric: str | Callabl
                     continue
                 d = distance(q, x)
                 d = np.where(np.isnan(d), np.inf, d) if threshold is None else np.where(d > threshold, np.nan, np.where(np.isnan(d), np.inf, d))
-                keep = nearest(d, own, k)
-                at, col = np.nonzero(keep)
+                d, own = nearest(d, own, k)
+                at, col = np.nonzero(~np.isnan(d))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[col]), pa.array(d[at, col])], ["query_id", "id", "distance"])
 
         parts.append(rows.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, distance double"))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..errors import CodecError, ZeroNormVector
 from ..functions.arrowio import matrix, ship
 
-#: Points of the grid that a codebook is fitted on, its end, and when fitting stops.
+#: Points of the grid that a codebook is fitted on, its end, and when fitting stops: fixed values, on which centroids depend.
 GRID, EDGE, ROUNDS, TOLERANCE = 10_000, 0.9999, 200, 1e-10
-#: What the seed of the projection differs by from that of the rotation.
+#: What the seed of the projection differs by from that of the rotation: a fixed value.
 PROJECTION_SEED = 1_000_000
 
 

@@ -24,6 +24,9 @@ SEGMENT_ROWS, QUERIES = 125, 5
 SMALL = Config(dimension=64, lsh_num_tables=4, lsh_bits_per_table=8, lsh_dims_per_bit=8, lsh_probe_hamming_radius=1, lsh_bucket_expert_dims=2, lsh_max_candidates=256, lsh_min_candidates=32, seed=42)
 
 
+TURBO = turbo.TurboConfig(64, 4)
+
+
 def _r(c):
     return F.round(c.cast("double"), 6)
 
@@ -261,7 +264,7 @@ def compact_roundtrip(spark, sf_dir):
     """Segments 0 and 1 merged: ids and new row numbers, and how far decoded values moved."""
     rows, own, coded = _coded(spark, sf_dir)
     merged = compaction.merged_rows(coded, own, 0, 1, 99)
-    return merged.join(rows.select("id", F.col("vector").alias("x")), "id").select("segment_id", F.col("row_id").cast("long").alias("row_id"), "id", (metrics.l2("x", "vector") < 0.05).alias("near"))
+    return merged.join(rows.select("id", F.col("vector").alias("x")), "id").select("segment_id", F.col("row_id").cast("long").alias("row_id"), "id", _r(metrics.l2("x", "vector")).alias("error"))
 
 
 def _new_store(spark, rows: int) -> VectorStore:
@@ -269,15 +272,36 @@ def _new_store(spark, rows: int) -> VectorStore:
     return VectorStore.create(spark, f"{base.rstrip('/')}/stores/{uuid.uuid4().hex}", SMALL.with_(max_segment_rows=rows, compaction_trigger=1 << 30))
 
 
-def store_roundtrip(spark, sf_dir):
-    """Inserted, sealed, opened again: each id with how near its decoded vector is."""
-    rows = _rows(spark, sf_dir)
-    store = _new_store(spark, 200)
-    store.insert(rows.select("id", "vector"))
+def _filled_store(spark, sf_dir, size: int) -> VectorStore:
+    """A store with all rows sealed, by vec_id, ``size`` to a segment."""
+    store = _new_store(spark, size)
+    store.insert(_rows(spark, sf_dir).coalesce(1).sortWithinPartitions("id").select("id", "vector"))
     store.save()
-    again = VectorStore.open(spark, store.path)
-    back = segments.decode_rows(again.table("codes"), again.table("segments")).select("id", F.col("vector").alias("y"))
-    return rows.join(back, "id").select("id", (metrics.l2("vector", "y") < 0.05).alias("near"))
+    return store
+
+
+def _read_back(spark, sf_dir, store: VectorStore) -> DataFrame:
+    back = segments.decode_rows(store.table("codes"), store.table("segments")).select("segment_id", "row_id", "id", F.col("vector").alias("y"))
+    return _rows(spark, sf_dir).join(back, "id").select("id", "segment_id", F.col("row_id").cast("long").alias("row_id"), _r(metrics.l2("vector", "y")).alias("error"))
+
+
+def store_roundtrip(spark, sf_dir):
+    """Inserted, sealed, opened again: where each id stands, and how far its decoded vector is from its own."""
+    return _read_back(spark, sf_dir, VectorStore.open(spark, _filled_store(spark, sf_dir, 200).path))
+
+
+def store_compacted(spark, sf_dir):
+    """The best pair of segments merged, sealed again and read back: what quantising twice has done."""
+    store = VectorStore.open(spark, _filled_store(spark, sf_dir, SEGMENT_ROWS).path, SMALL.with_(max_segment_rows=SEGMENT_ROWS, compaction_trigger=2))
+    store.compact_once()
+    return _read_back(spark, sf_dir, store)
+
+
+def store_next_compaction(spark, sf_dir):
+    """The report on the merge that ``store_compacted`` makes, with the drift."""
+    found = _filled_store(spark, sf_dir, SEGMENT_ROWS).explain_next_compaction()
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return found.select(*map(number, ("left_id", "right_id", "left_depth", "right_depth", "left_count", "right_count", "left_visits", "right_visits", "vectors_rewritten", "bytes_rewritten")), *(_r(F.col(c)).alias(c) for c in ("centroid_distance", "gain", "drift")))
 
 
 def stream_seal(spark, sf_dir):
@@ -289,13 +313,10 @@ def stream_seal(spark, sf_dir):
 
 
 def turbo_inner_products(spark, sf_dir):
-    """Whether 4-bit estimates of the inner product with vector 0 are near the true ones."""
+    """4-bit estimates of the inner product with vector 0."""
     rows = _rows(spark, sf_dir)
-    config = turbo.TurboConfig(64, 4)
     query = rows.where("id = 0").first().vector
-    scores = turbo.turbo_scores(turbo.turbo_encode(rows, config), query, config)
-    true = rows.select("id", metrics.dot("vector", F.array(*map(F.lit, query))).alias("dot"))
-    return scores.join(true, "id").select("id", (F.abs(F.col("score") - F.col("dot")) < 0.2).alias("near"))
+    return turbo.turbo_scores(turbo.turbo_encode(rows, TURBO), query, TURBO).select("id", F.round("score", 5).alias("score"))
 
 
 def segment_top_ids(spark, sf_dir):
@@ -313,7 +334,7 @@ QUERY_FUNCTIONS = (
     exact_knn_l2, exact_knn_cosine, exact_knn_dot, knn_custom_metric, knn_threshold, knn_dedup_min, knn_filtered, vector_norms, dot_products, l2_prefix, sparse_dots,
     sq8_minmax, sq8_codes, sq8_decode_error, adc_knn, decoded_knn, segment_telemetry, segment_centroids, root_stats, centroid_distances, nig_root_scores,
     routing_mass, routing_explain, bic_pairs, compaction_choice, lsh_signatures, lsh_postings_count, lsh_probe_counts, bucket_experts, row_evidence,
-    adaptive_budget, ann_search, compact_roundtrip, store_roundtrip, stream_seal, turbo_inner_products, segment_top_ids, ln_gamma_values,
+    adaptive_budget, ann_search, compact_roundtrip, store_roundtrip, store_compacted, store_next_compaction, stream_seal, turbo_inner_products, segment_top_ids, ln_gamma_values,
 )
 QUERIES_BY_NAME = {f.__name__: f for f in QUERY_FUNCTIONS}
 
@@ -338,13 +359,6 @@ def _knn(expression: str, where: str = "TRUE", k: int = 10) -> str:
 _POST = """SELECT *, 2 * a AS nu, b * (k + 1) / (a * k) AS s2 FROM (
         SELECT *, n * mean / k AS mu, 0.01 + m2 / 2 + 0.01 * n * mean * mean / (2 * k) AS b FROM (SELECT *, n + 0.01 AS k, n / 2 + 0.01 AS a FROM {source}))"""
 _DENSITY = "lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * (ln(nu) + ln(pi()) + ln(s2)) - (nu + 1) / 2 * ln(1 + (t - mu) * (t - mu) / (nu * s2))"
-_ROUTE = (
-    f"WITH {_E}, {_X}, {_M}, p AS ({_POST.format(source='m')}), "
-    f"s AS (SELECT x.id AS query_id, p.segment_id, sum({_DENSITY.replace('t -', 'x.val -')}) AS score FROM x JOIN p ON x.pos = p.pos WHERE x.id < 20 GROUP BY ALL), "
-    "r AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS w FROM s), "
-    "o AS (SELECT *, w / sum(w) OVER (PARTITION BY query_id) AS mass FROM r), "
-    "u AS (SELECT *, sum(mass) OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS total, coalesce(sum(mass) OVER (PARTITION BY query_id ORDER BY score DESC, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o) "
-)
 _BIC = (
     f"WITH {_E}, {_X}, {_M}, pairs AS (SELECT a.segment_id AS left_id, b.segment_id AS right_id, a.n AS an, b.n AS bn, a.m2 AS am, b.m2 AS bm, a.n + b.n AS n, "
     "a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * a.n * b.n / (a.n + b.n) AS m2 FROM m a JOIN m b ON a.pos = b.pos AND a.segment_id < b.segment_id), "
@@ -376,6 +390,39 @@ _EVIDENCE = (
     "ev AS (SELECT query_id, bk.segment_id, row_id, sum(score) AS score, count(*) AS votes FROM bk JOIN sg USING (segment_id, table_id, sig) GROUP BY ALL) "
 )
 
+_ROUTED = (
+    f"p AS ({_POST.format(source='m')}), s AS (SELECT x.id AS query_id, p.segment_id, sum({_DENSITY.replace('t -', 'x.val -')}) AS score FROM x JOIN p ON x.pos = p.pos WHERE x.id < {{n}} GROUP BY ALL), "
+    "r AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS w FROM s), "
+    "o AS (SELECT *, w / sum(w) OVER (PARTITION BY query_id) AS mass FROM r), "
+    "u AS (SELECT *, sum(mass) OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS total, coalesce(sum(mass) OVER (PARTITION BY query_id ORDER BY score DESC, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)"
+).replace("{n}", "20")
+_ROUTE = f"WITH {_E}, {_X}, {_M}, {_ROUTED} "
+# ranks, budgets and what they need, out of the evidence in the table {ev}
+_BUDGET = (
+    ", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_id ORDER BY score DESC, votes DESC, row_id) AS rank, max(score) OVER (PARTITION BY query_id, segment_id) AS s1 FROM {ev}), "
+    "st AS (SELECT query_id, segment_id, count(*) AS found, any_value(s1) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, sum(CASE WHEN rank <= 16 THEN exp(score - s1) END) AS top, max(CASE WHEN rank = 1 THEN votes END) AS v1, coalesce(max(CASE WHEN rank = 2 THEN votes END), 0) AS v2 FROM rk GROUP BY ALL), "
+    "cf AS (SELECT *, least(greatest(greatest(s1 - coalesce(s2, s1 - 1), 0) / (abs(s1) + 1e-6), 0), 1) AS lead, least(greatest(0.7 * least(v1 / 4, 1) + 0.3 * least(greatest((v1 - v2) / 4, 0), 1), 0), 1) AS vc FROM st), "
+    "bu AS (SELECT *, CAST(least(greatest(round(32 + 224 * pow(1 - least(greatest(0.55 * vc + 0.30 / top + 0.15 * lead, 0), 1), 2.2)), 32), 256) AS BIGINT) AS budget FROM cf)"
+)
+# rows of the best pair quantised again as one segment with the next free number (z.once: after the first time, z.y: in the end)
+_TWICE = (
+    _BIC.rstrip() + f", {_C}, best AS (SELECT left_id, right_id, gain FROM g WHERE gain > 0 ORDER BY gain DESC, left_id, right_id LIMIT 1), "
+    "f AS (SELECT c.*, lo + (hi - lo) / 255 * code AS once, coalesce(segment_id IN (left_id, right_id), FALSE) AS merged, CASE WHEN segment_id = right_id THEN row_id + (SELECT max(n) FROM m WHERE segment_id = left_id) ELSE row_id END AS new_row FROM c LEFT JOIN best ON TRUE), "
+    "f2 AS (SELECT *, min(once) OVER (PARTITION BY pos, merged) AS low, max(once) OVER (PARTITION BY pos, merged) AS high FROM f), "
+    "z AS (SELECT id, CASE WHEN merged THEN (SELECT max(segment_id) + 1 FROM m) ELSE segment_id END AS segment_id, new_row AS row_id, pos, val, once, merged, "
+    "CASE WHEN merged THEN low + (high - low) / 255 * least(greatest(round((once - low) / greatest(high - low, 1e-12) * 255), 0), 255) ELSE once END AS y FROM f2) "
+)
+
+
+def _turbo_sql() -> str:
+    """The quantiser's matrices as a table tm(kind, i, j, w), and its codebook as cb(low, high, center)."""
+    q = turbo.Turbo(TURBO)
+    rows = [f"('{kind}', {i}, {j}, {float(w)!r}::DOUBLE)" for kind, m in (("rotation", q.rotation), ("projection", q.projection)) for i, line in enumerate(m) for j, w in enumerate(line)]
+    ends = [-2.0, *map(float, q.bounds), 2.0]
+    cells = [f"({a!r}::DOUBLE, {b!r}::DOUBLE, {float(c)!r}::DOUBLE)" for a, b, c in zip(ends, ends[1:], q.centers)]
+    return f"tm(kind, i, j, w) AS (VALUES {', '.join(rows)}), cb(low, high, center) AS (VALUES {', '.join(cells)})"
+
+
 ORACLE_SQL = {
     "exact_knn_l2": _knn("list_distance(qv, v)"),
     "exact_knn_cosine": _knn("list_cosine_distance(qv, v)"),
@@ -411,15 +458,26 @@ ORACLE_SQL = {
     "lsh_probe_counts": _HASHED + "SELECT query_id, pr.table_id, count(*) AS rows FROM pr JOIN sg USING (table_id, sig) GROUP BY ALL",
     "bucket_experts": _HASHED + "SELECT segment_id, table_id, sig, n AS cnt, CAST(plane AS BIGINT) AS pos, round(mean, 6) AS mean, round(m2, 6) AS m2 FROM ex",
     "row_evidence": _EVIDENCE + "SELECT query_id, segment_id, row_id, round(score, 6) AS score, votes FROM ev",
-    "adaptive_budget": _EVIDENCE + ", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_id ORDER BY score DESC, votes DESC, row_id) AS rank, max(score) OVER (PARTITION BY query_id, segment_id) AS s1 FROM ev), "
-    "st AS (SELECT query_id, segment_id, count(*) AS found, any_value(s1) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, sum(CASE WHEN rank <= 16 THEN exp(score - s1) END) AS top, max(CASE WHEN rank = 1 THEN votes END) AS v1, coalesce(max(CASE WHEN rank = 2 THEN votes END), 0) AS v2 FROM rk GROUP BY ALL), "
-    "cf AS (SELECT *, least(greatest(greatest(s1 - coalesce(s2, s1 - 1), 0) / (abs(s1) + 1e-6), 0), 1) AS lead, least(greatest(0.7 * least(v1 / 4, 1) + 0.3 * least(greatest((v1 - v2) / 4, 0), 1), 0), 1) AS vc FROM st), "
-    "bu AS (SELECT *, CAST(least(greatest(round(32 + 224 * pow(1 - least(greatest(0.55 * vc + 0.30 / top + 0.15 * lead, 0), 1), 2.2)), 32), 256) AS BIGINT) AS budget FROM cf) "
-    "SELECT query_id, segment_id, budget, least(budget, found) AS rows FROM bu",
-    "compact_roundtrip": f"WITH {_E} SELECT CAST(99 AS BIGINT) AS segment_id, id AS row_id, id, TRUE AS near FROM e WHERE id < 250",
-    "store_roundtrip": f"WITH {_E} SELECT id, TRUE AS near FROM e",
+    "adaptive_budget": _EVIDENCE + _BUDGET.replace("{ev}", "ev") + " SELECT query_id, segment_id, budget, least(budget, found) AS rows FROM bu",
+    "ann_search": _EVIDENCE + f", {_M}, {_C}, {_ROUTED}, rv AS (SELECT ev.* FROM ev JOIN u USING (query_id, segment_id) WHERE u.before < 0.95)" + _BUDGET.replace("{ev}", "rv")
+    + ", q AS (SELECT id AS query_id, pos, val AS qval FROM x WHERE id < 5), ch AS (SELECT query_id, segment_id, row_id FROM rk JOIN bu USING (query_id, segment_id) WHERE rank <= budget) "
+    + _top("SELECT query_id, id, sqrt(sum((qval - (lo + (hi - lo) / 255 * code)) ** 2)) AS distance FROM ch JOIN c USING (segment_id, row_id) JOIN q USING (query_id, pos) GROUP BY ALL"),
+    "compact_roundtrip": f"WITH {_E}, {_X}, {_M}, {_C} SELECT CAST(99 AS BIGINT) AS segment_id, id AS row_id, id, round(sqrt(sum((val - (lo + (hi - lo) / 255 * code)) ** 2)), 6) AS error FROM c WHERE id < 250 GROUP BY id",
+    "store_roundtrip": f"WITH {_E.replace('125', '200')}, {_X}, {_M}, {_C} SELECT id, segment_id, row_id, round(sqrt(sum((val - (lo + (hi - lo) / 255 * code)) ** 2)), 6) AS error FROM c GROUP BY ALL",
+    "store_compacted": _TWICE + "SELECT id, segment_id, row_id, round(sqrt(sum((val - y) ** 2)), 6) AS error FROM z GROUP BY ALL",
+    "store_next_compaction": _TWICE + "SELECT left_id, right_id, CAST(0 AS BIGINT) AS left_depth, CAST(0 AS BIGINT) AS right_depth, l.n AS left_count, r.n AS right_count, CAST(0 AS BIGINT) AS left_visits, CAST(0 AS BIGINT) AS right_visits, "
+    "l.n + r.n AS vectors_rewritten, (l.n + r.n) * 256 AS bytes_rewritten, round(distance, 6) AS centroid_distance, round(gain, 6) AS gain, round(drift, 6) AS drift FROM best "
+    "JOIN (SELECT segment_id, max(n) AS n FROM m GROUP BY ALL) l ON l.segment_id = left_id JOIN (SELECT segment_id, max(n) AS n FROM m GROUP BY ALL) r ON r.segment_id = right_id, "
+    "(SELECT sqrt(sum((a.val - b.val) ** 2)) AS distance FROM (SELECT pos, mean AS val, segment_id FROM m) a JOIN (SELECT pos, mean AS val, segment_id FROM m) b USING (pos), best WHERE a.segment_id = left_id AND b.segment_id = right_id), "
+    "(SELECT sqrt(sum((once - y) ** 2)) AS drift FROM z WHERE merged)",
     "stream_seal": "SELECT i AS segment_id, least(200, n - 200 * i) AS vector_count FROM (SELECT n, unnest(range(0, (n + 199) // 200)) AS i FROM (SELECT count(*) AS n FROM embeddings))",
-    "turbo_inner_products": f"WITH {_E} SELECT id, TRUE AS near FROM e",
+    "turbo_inner_products": f"WITH {_E}, {_X}, {_turbo_sql()}, sz AS (SELECT id, sqrt(sum(val * val)) AS size FROM x GROUP BY id), n AS (SELECT id, pos, val / size AS val FROM x JOIN sz USING (id)), "
+    "ro AS (SELECT id, j, sum(val * w) AS val FROM n JOIN tm ON kind = 'rotation' AND i = pos GROUP BY ALL), ix AS (SELECT id, j, (SELECT center FROM cb WHERE val > low AND val <= high) AS center FROM ro), "
+    "un AS (SELECT id, i AS pos, sum(center * w) AS val FROM ix JOIN tm ON kind = 'rotation' AND tm.j = ix.j GROUP BY ALL), re AS (SELECT id, pos, n.val - un.val AS val FROM n JOIN un USING (id, pos)), "
+    "rn AS (SELECT id, CAST(CAST(sqrt(sum(val * val)) AS FLOAT) AS DOUBLE) AS rest FROM re GROUP BY id), sg AS (SELECT id, i AS k, CASE WHEN sum(val * w) >= 0 THEN 1.0 ELSE -1.0 END AS sign FROM re JOIN tm ON kind = 'projection' AND j = pos GROUP BY ALL), "
+    "qv AS (SELECT pos, val FROM x WHERE id = 0), qp AS (SELECT i AS k, sum(val * w) AS val FROM qv JOIN tm ON kind = 'projection' AND j = pos GROUP BY ALL), "
+    "a AS (SELECT id, sum(un.val * qv.val) AS dot FROM un JOIN qv USING (pos) GROUP BY id), b AS (SELECT id, sum(sign * qp.val) AS dot FROM sg JOIN qp USING (k) GROUP BY id) "
+    "SELECT id, round((a.dot + sqrt(pi() / 2) / 64 * b.dot * rest) * CAST(CAST(size AS FLOAT) AS DOUBLE), 5) AS score FROM a JOIN b USING (id) JOIN rn USING (id) JOIN sz USING (id)",
     "segment_top_ids": f"WITH {_E} SELECT segment_id, rank, id, round(size, 6) AS size FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY size DESC, id) AS rank FROM (SELECT segment_id, id, sqrt(list_inner_product(v[1:8], v[1:8])) AS size FROM e)) WHERE rank <= 3",
     "ln_gamma_values": f"WITH {_E} SELECT id, round(lgamma((id + 1) / 2), 6) AS value FROM e",
 }

@@ -8,14 +8,16 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..errors import InvalidHeader, InvalidVectorDimension, StorageError, UnsupportedVersion
+from ..errors import IndexOutOfBounds, InvalidHeader, InvalidVectorDimension, InvariantViolation, StorageError, TaskError, UnsupportedVersion
 from ..operators import compaction, index, routing, search, segments
 from ..operators.planes import Planes, make_planes
 from .files import Files
@@ -40,7 +42,27 @@ def _columns(schema: str) -> list[str]:
 def _together(spark, *jobs):
     """Run jobs in threads of their own and give their results; the first error is raised."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+        running = [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]
+        for f in running:
+            if f.exception() is not None:
+                raise TaskError(f"sealing failed: {f.exception()}") from f.exception()
+        return [f.result() for f in running]
+
+
+class Neighbor(NamedTuple):
+    """One result of a query."""
+
+    id: int
+    distance: float
+
+
+class Neighbors(NamedTuple):
+    """The results of a batch: ids (n, k), distances (n, k), and how many each query has (n). Beyond a query's count, id
+    0 stands at distance infinity."""
+
+    ids: np.ndarray
+    distances: np.ndarray
+    counts: np.ndarray
 
 
 class VectorStore:
@@ -70,6 +92,17 @@ class VectorStore:
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config | None = None) -> VectorStore:
         """The store at ``path``; with ``config``, later segments are sealed by it, and its dimension must be the store's."""
+        manifest = cls._newest(spark, path)
+        store = cls(spark, path, manifest)
+        if config is not None:
+            if config.dimension != store.config.dimension:
+                raise InvalidVectorDimension(f"the store has dimension {store.config.dimension}")
+            store.config = config
+            manifest["config"] = config.as_dict()
+        return store
+
+    @staticmethod
+    def _newest(spark: SparkSession, path: str) -> dict:
         files = Files(spark, path)
         if not files.exists():
             raise StorageError(f"{path} does not exist")
@@ -84,13 +117,14 @@ class VectorStore:
             raise InvalidHeader(f"{path}: not a manifest of a store")
         if manifest["format_version"] > VERSION:
             raise UnsupportedVersion(f"{path}: format {manifest['format_version']}")
-        store = cls(spark, path, manifest)
-        if config is not None:
-            if config.dimension != store.config.dimension:
-                raise InvalidVectorDimension(f"the store has dimension {store.config.dimension}")
-            store.config = config
-            manifest["config"] = config.as_dict()
-        return store
+        live = {s["segment_id"] for s in manifest["live"]}
+        if len(live) < len(manifest["live"]) or any(k >= manifest["next_segment_id"] for k in live):
+            raise InvariantViolation(f"{path}: the manifest names a segment twice, or one that was never allotted")
+        return manifest
+
+    def reload(self) -> None:
+        """Go back to the newest committed state, after an error."""
+        self.manifest = self._newest(self.spark, self.path)
 
     def _commit(self) -> None:
         self.manifest["version"] += 1
@@ -193,10 +227,15 @@ class VectorStore:
         self.manifest["live"] += [{"segment_id": k, "depth": v, "data": name, "config": self.manifest["configs"].index(own)} for k, v in depths.items()]
 
     def flush(self) -> None:
-        """Seal all staged rows, then merge segments as long as any two should be."""
+        """Seal all staged rows, then merge segments as long as any two should be. The gains of pairs are kept from merge
+        to merge: each adds those with the new segment only."""
         self._seal(whole_only=False)
-        while self.compact_once():
-            pass
+        gains = None
+        while self._due():
+            gains = self._gains(gains)
+            if not self._merge(gains):
+                break
+        self.files.delete("gains")
 
     def save(self) -> None:
         """Flush, and drop data and manifests that no reader of the newest one needs."""
@@ -211,9 +250,27 @@ class VectorStore:
 
     def compact_once(self) -> bool:
         """Merge the best pair if there are enough segments and a pair gains; whether it did."""
-        if len(self.manifest["live"]) < self.config.compaction_trigger:
-            return False
-        pair = compaction.best_pair(self.table("segments"), self.config.compaction_depth_cap).first()
+        return self._due() and self._merge(compaction.pair_gains(self.table("segments"), self.config.compaction_depth_cap))
+
+    def _due(self) -> bool:
+        return len(self.manifest["live"]) >= self.config.compaction_trigger
+
+    def _gains(self, before: DataFrame | None) -> DataFrame:
+        """The gains of all pairs of live segments, stored; ``before``: those before the last merge."""
+        own, cap = self.table("segments"), self.config.compaction_depth_cap
+        if before is None:
+            found = compaction.pair_gains(own, cap)
+        else:
+            ids = own.select("segment_id")
+            left, right = (F.broadcast(ids.withColumnRenamed("segment_id", c)) for c in ("left_id", "right_id"))
+            found = before.join(left, "left_id", "left_semi").join(right, "right_id", "left_semi").select(before.columns)
+            found = found.unionByName(compaction.pair_gains(own, cap, self.manifest["next_segment_id"] - 1))
+        at = f"{self.path}/gains/{uuid.uuid4().hex}"
+        found.write.parquet(at)
+        return self.spark.read.schema(found.schema).parquet(at)
+
+    def _merge(self, gains: DataFrame) -> bool:
+        pair = compaction.best_of(gains).first()
         if pair is None:
             return False
         left, right, new = pair.left_id, pair.right_id, self.manifest["next_segment_id"]
@@ -237,7 +294,12 @@ class VectorStore:
             return self.spark.createDataFrame([], SCHEMAS[name])
         base = f"{self.path}/data/{name}"
         paths = sorted({f"{base}/commit={s['data']}" for s in live})
-        return self.spark.read.schema(f"{SCHEMAS[name]}, commit string").option("basePath", base).parquet(*paths).drop("commit").where(F.col("segment_id").isin([s["segment_id"] for s in live]))
+        rows = self.spark.read.schema(f"{SCHEMAS[name]}, commit string").option("basePath", base).parquet(*paths).drop("commit")
+        ids = [s["segment_id"] for s in live]
+        if len(ids) <= search.PRUNED:
+            return rows.where(F.col("segment_id").isin(ids))
+        own = self.spark.createDataFrame(pd.DataFrame({"segment_id": np.array(ids, np.int64)}))
+        return rows.join(F.broadcast(own), "segment_id", "left_semi").select(*[c.split(" ")[0] for c in _columns(SCHEMAS[name])])
 
     def num_sealed_segments(self) -> int:
         return len(self.manifest["live"])
@@ -295,21 +357,29 @@ class VectorStore:
             seen.groupBy("segment_id").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{self.path}/visits")
         return out
 
-    def query(self, vector, k: int, metric="adc", threshold: float | None = None, delta: float | None = None) -> list[tuple[int, float]]:
-        """The k nearest (id, distance) of one vector; counts the visit."""
+    def query(self, vector, k: int, metric="adc", threshold: float | None = None, delta: float | None = None) -> list[Neighbor]:
+        """The k nearest of one vector, nearest first; counts the visit."""
         if len(vector) != self.config.dimension:
             raise InvalidVectorDimension(f"the store has dimension {self.config.dimension}")
         rows = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
-        return [(r.id, r.distance) for r in self.search(rows, k, metric, threshold, delta, record_visits=True).orderBy("rank").collect()]
+        return [Neighbor(r.id, r.distance) for r in self.search(rows, k, metric, threshold, delta, record_visits=True).orderBy("rank").collect()]
 
-    def query_batch(self, vectors: np.ndarray, k: int, metric="adc", threshold: float | None = None, delta: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids (n, k), distances (n, k), counts (n)); beyond a query's count, id 0 at distance infinity."""
+    def query_batch(self, vectors: np.ndarray, k: int, metric="adc", threshold: float | None = None, delta: float | None = None) -> Neighbors:
+        """The k nearest of each row of an (n, dimension) array; counts the visits of each."""
         rows = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id long, vector array<double>")
         ids, distances, counts = np.zeros((len(vectors), k), np.int64), np.full((len(vectors), k), np.inf), np.zeros(len(vectors), np.int64)
-        for r in self.search(rows, k, metric, threshold, delta).collect():
+        for r in self.search(rows, k, metric, threshold, delta, record_visits=True).collect():
             ids[r.query_id, r.rank - 1], distances[r.query_id, r.rank - 1] = r.id, r.distance
             counts[r.query_id] += 1
-        return ids, distances, counts
+        return Neighbors(ids, distances, counts)
+
+    def external_id(self, segment_id: int, row_id: int) -> int:
+        """The id of a sealed row."""
+        wanted = self.spark.createDataFrame([(segment_id, row_id)], "segment_id long, row_id int")
+        found = segments.external_ids(self.table("codes").where(F.col("segment_id") == segment_id), wanted).first().id
+        if found is None:
+            raise IndexOutOfBounds(f"segment {segment_id} has no row {row_id}")
+        return found
 
     def explain_query_routing(self, queries: DataFrame, delta: float | None = None) -> DataFrame:
         """How each of ``queries(query_id, vector)`` would be routed; counts no visit."""

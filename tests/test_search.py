@@ -182,3 +182,20 @@ def test_single_row_and_constant_segments(spark):
     assert len(scores) == 2 and all(np.isfinite(r.score) for r in scores)
     out = segments.external_ids(coded, spark.createDataFrame([(1, 1), (1, 9)], "segment_id long, row_id int")).collect()
     assert {(r.row_id, r.id) for r in out} == {(1, 3), (9, None)}
+
+
+def test_repeated_ids_do_not_turn_the_cut_off():
+    rng = np.random.default_rng(4)
+    d, ids = rng.random((20, 1000)), np.arange(1000)
+    ids[500] = 3
+    d[:, 7], d[2] = np.nan, np.nan
+    got, own = search.nearest(d, ids, 5)
+    assert (np.isfinite(got).sum(axis=1) <= 6).all() and not np.isfinite(got[2]).any()
+    for row in (0, 1, 19):
+        best = {}
+        for i, v in zip(ids, d[row]):
+            if not np.isnan(v):
+                best[i] = min(v, best.get(i, 9.0))
+        want = sorted(best.items(), key=lambda x: (x[1], x[0]))[:5]
+        have = sorted(((i, v) for i, v in zip(own, got[row]) if not np.isnan(v)), key=lambda x: (x[1], x[0]))[:5]
+        assert have == want

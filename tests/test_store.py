@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.config import Config
-from lodestar.errors import InvalidHeader, InvalidVectorDimension, StorageError, UnsupportedVersion
+from lodestar.errors import IndexOutOfBounds, InvalidHeader, InvalidVectorDimension, InvariantViolation, StorageError, TaskError, UnsupportedVersion
+from lodestar.operators import compaction
 from lodestar.sources.store import VectorStore
 from lodestar.streaming.ingest import ingest
 
@@ -141,3 +142,82 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     ingest(stream, again, str(tmp_path / "c2"), availableNow=True).awaitTermination()  # the batches come again
     again.flush()
     assert sorted(r.id for r in again.table("codes").collect()) == list(range(100))
+
+
+def test_a_batch_that_failed_after_its_commit_is_not_inserted_again(spark, tmp_path, monkeypatch):
+    frame(spark, vectors(50, 9)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = VectorStore.create(spark, str(tmp_path / "s"), SMALL)
+    stream = lambda: spark.readStream.schema("id long, vector array<float>").parquet(str(tmp_path / "in"))
+    seal = VectorStore._seal
+    monkeypatch.setattr(VectorStore, "_seal", lambda self, whole_only: 1 / 0)
+    with pytest.raises(Exception):
+        ingest(stream(), store, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    monkeypatch.setattr(VectorStore, "_seal", seal)
+    assert store.manifest["streams"]["ingest"] == 0 and store.staged_rows().count() == 50
+    ingest(stream(), store, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    store.flush()
+    assert sorted(r.id for r in store.table("codes").collect()) == list(range(50))
+
+
+def test_a_batch_that_failed_before_its_commit_is_inserted(spark, tmp_path, monkeypatch):
+    frame(spark, vectors(50, 9)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = VectorStore.create(spark, str(tmp_path / "s"), SMALL)
+    stream = lambda: spark.readStream.schema("id long, vector array<float>").parquet(str(tmp_path / "in"))
+    insert = VectorStore.insert
+    monkeypatch.setattr(VectorStore, "insert", lambda self, rows: 1 / 0)
+    with pytest.raises(Exception):
+        ingest(stream(), store, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    monkeypatch.setattr(VectorStore, "insert", insert)
+    assert store.manifest["streams"] == {}
+    ingest(stream(), store, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    store.flush()
+    assert sorted(r.id for r in store.table("codes").collect()) == list(range(50))
+
+
+def test_results_have_names_and_batches_count_visits(spark, tmp_path):
+    x = vectors(80, 3)
+    store = VectorStore.create(spark, str(tmp_path / "s"), SMALL)
+    store.insert(frame(spark, x))
+    found = store.query_batch(x[:3], 2, "l2", delta=0.0)
+    assert found.counts.tolist() == [2, 2, 2] and found.ids[1, 0] == 1 and found.distances.shape == (3, 2)
+    assert store.sealed_segment_summaries().agg(F.sum("query_visits")).first()[0] == 6
+    one = store.query(x[5], 1, "l2", delta=0.0)[0]
+    assert one.id == 5 and one.distance < 0.05
+    assert store.sealed_segment_summaries().agg(F.sum("query_visits")).first()[0] == 8
+    codes = store.table("codes").where("id = 41").first()
+    assert store.external_id(codes.segment_id, codes.row_id) == 41
+    with pytest.raises(IndexOutOfBounds):
+        store.external_id(0, 4000)
+
+
+def test_a_failing_job_and_a_manifest_that_contradicts_itself(spark, tmp_path, monkeypatch):
+    store = VectorStore.create(spark, str(tmp_path / "s"), SMALL)
+    monkeypatch.setattr("lodestar.sources.store.segments.segment_stats", lambda rows: 1 / 0)
+    with pytest.raises(TaskError):
+        store.insert(frame(spark, vectors(40, 2)))
+    monkeypatch.undo()
+    store.reload()
+    store.flush()
+    assert store.table("codes").count() == 40
+    store.manifest["live"].append(dict(store.manifest["live"][0]))
+    store._commit()
+    with pytest.raises(InvariantViolation):
+        VectorStore.open(spark, store.path)
+
+
+def test_gains_kept_between_merges_are_those_counted_anew(spark, tmp_path):
+    config = SMALL.with_(max_segment_rows=10, compaction_trigger=99)
+    store = VectorStore.create(spark, str(tmp_path / "s"), config)
+    store.insert(frame(spark, vectors(60, 4)))
+    gains = store._gains(None)
+    assert store._merge(gains)
+    key = lambda df: sorted((r.left_id, r.right_id, round(r.gain, 9)) for r in df.collect())
+    assert key(store._gains(gains)) == key(compaction.pair_gains(store.table("segments"), config.compaction_depth_cap))
+
+
+def test_tables_of_many_segments_are_joined_not_listed(spark, tmp_path, monkeypatch):
+    store = VectorStore.create(spark, str(tmp_path / "s"), SMALL)
+    store.insert(frame(spark, vectors(120, 4)))
+    want = sorted(map(tuple, store.table("codes").select("segment_id", "row_id", "id").collect()))
+    monkeypatch.setattr("lodestar.sources.store.search.PRUNED", 2)
+    assert sorted(map(tuple, store.table("codes").select("segment_id", "row_id", "id").collect())) == want and len(want) == 120
