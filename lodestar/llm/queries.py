@@ -34,7 +34,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_table(spark, sf_dir, "documents"), 8)
+    docs = _table(spark, sf_dir, "documents")
+    return sharding.assign(docs, target_bytes=max(1, -(-sharding.total_bytes(docs) // 8)))
 
 
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,37 @@ def test_one_text_in_all_rows(spark):
     rows = [(i, "same") for i in range(50)]
     found = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
     assert len({r.shard for r in found}) == 1 and sorted(r.slot for r in found) == list(range(50))
+
+
+def loads(found):
+    out = Counter()
+    for r in found:
+        out[r.shard] += r.size
+    return sorted(out.values())
+
+
+def test_heavy_texts_leave_the_others_even(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one = loads(sharding.assign(frame([(i, f"{i:06d}" + "y" * (i % 60)) for i in range(3000)] + [(5000, "x" * 50_000)]), 4).collect())
+    assert one[-1] == 50_001 and max(one[:3]) - min(one[:3]) <= 200, one
+    even = loads(sharding.assign(frame([(i, f"{i:06d}" + "z" * (20_000 + i)) for i in range(40)]), 8).collect())
+    assert max(even) - min(even) < 400, even
+    copies = [(i, "copy " * 10) for i in range(900)] + [(1000 + i, f"{i:05d} " * 9) for i in range(2000)]
+    hot = loads(sharding.assign(frame(copies), 8).collect())
+    assert hot[-1] == 900 * 51 and max(hot[:7]) - min(hot[:7]) <= 200, hot
+
+
+def test_leaves_reach_the_target_and_cuts_follow_names(spark):
+    rows = [(i, f"text {i:04d}", f"https://site/{'abcd'[i % 4]}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sharding.assign(docs, target_bytes=1100).collect()
+    assert len({r.shard for r in found}) == 4 and max(loads(found)) <= 1100
+    groups = {r.x[1] for r in sharding.groups(docs).collect()}
+    assert sorted(groups) == [ord(c) * 2.0**40 for c in "abcd"]
+
+
+def test_rows_without_doc_id_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 10)
+    rows = [(None, "same")] * 60 + [(None, f"t{i}") for i in range(40)]
+    found = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    check(rows, found.collect(), 2, 300)
