@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: The turns of a conversation whose offsets are summed up together.
-BLOCK_TURNS = 256
+from .common import materialize, partitions
+
+#: Letters of a message that the order of messages is cut by; the rest decides within a block.
+PREFIX = 256
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -28,8 +30,10 @@ def rotate(turns: DataFrame, speaker: str = "role", context: tuple[str, ...] = (
     Turns go by turn (null first), then speaker and text; repeated rows are repeated messages. A null text is
     empty, a null speaker is named ``unknown``; rows without conv_id are one conversation. Markers inside texts and
     names are broken up with a space, line ends in names become spaces. A conversation with context alone gives no
-    rows. Other columns are ignored. No conversation is gathered into one group: offsets are sums over blocks of
-    BLOCK_TURNS turns, and over the blocks before.
+    rows. Other columns are ignored. No conversation is gathered into one group: all messages, in their order, are cut
+    into blocks by the quantiles of a sample, whatever turns they have, and offsets are sums within a block and over
+    the blocks before, of which a conversation has no more than there are shuffle partitions. Equal messages may be
+    parted; only messages of one turn (or none) and speaker that begin with the same PREFIX letters stay together.
     """
     name = F.translate(_plain(F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))), "\r\n", "  ")
     base = turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), name.alias("speaker"), _plain(F.col("text")).alias("body"))
@@ -38,8 +42,12 @@ def rotate(turns: DataFrame, speaker: str = "role", context: tuple[str, ...] = (
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker").isin(*context), F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     head = F.concat(F.lit(BEGIN), F.when(role == "user", F.concat(F.lit("user name="), F.col("speaker"))).otherwise(role), F.lit("\n"))
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 60))).alias("block")
-    each = each.select("conv_id", "perspective", "turn", "speaker", "body", role.alias("role"), head.alias("head"), block)
+    each = each.select("conv_id", "perspective", "turn", "speaker", "body", role.alias("role"), head.alias("head"))
+    # equal short messages go in any order; a longer one comes after what it begins with
+    any_order = F.when(F.length("body") <= PREFIX, F.monotonically_increasing_id() - (1 << 62)).otherwise(0)
+    keyed = each.withColumns({"prefix": F.substring("body", 1, PREFIX), "salt": any_order})
+    cut = keyed.repartitionByRange(partitions(turns.sparkSession), "conv_id", "perspective", "turn", "speaker", "prefix", "salt")
+    each = materialize(cut.withColumn("block", F.spark_partition_id()).drop("prefix", "salt"), "chat-blocks")
     long = F.length("head") + F.length("body") + F.lit(len(END) + 1)
     sums = each.groupBy("conv_id", "perspective", "block").agg(F.sum(long).alias("chars"), F.count("*").alias("n"))
     past = W.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(W.unboundedPreceding, -1)

@@ -37,3 +37,21 @@ def test_every_participant_is_assistant_once(spark):
 
 def test_empty(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_turns_that_are_null_or_sparse_are_cut_into_blocks(spark, monkeypatch):
+    seen = []
+    keep = chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    rows = [(1, None, "ab"[i % 2], f"same {i % 5}") for i in range(300)] + [(1, 10**12 + 7919 * i, "ab"[i % 2], f"late {i}") for i in range(300)] + [(2, None, "a", "x" * 400 + str(i % 3)) for i in range(40)]
+    found = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("perspective = 'a'").collect()
+    for conv in (1, 2):
+        own = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.seq)
+        assert [(r.turn, r.speaker) for r in own] == [(t, s) for _, t, s, _ in sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3]))]
+        at = 0
+        for r in own:
+            head = len(r.rendered) - len(r.rendered.split("\n", 1)[1])
+            assert (r.start_at, r.end_at) == (at + head, at + len(r.rendered) - 1)
+            at += len(r.rendered)
+    sizes = seen[0].groupBy("block").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 800
