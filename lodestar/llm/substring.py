@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, partitions
@@ -99,23 +99,10 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
 
-def _keys(spark: SparkSession, parts: int, first: int) -> np.ndarray:
-    """Keys for ``parts`` parts, from ``first`` on, that a repartition by key deals out evenly: as many to each partition."""
-    n = partitions(spark)
-    each = -(-parts // n)
-    to = F.pmod(F.hash("key"), F.lit(n)).alias("to")
-    tried = spark.range(first, first + 40 * each * n).select(F.col("id").cast("int").alias("key")).select("key", to)
-    own = {r.to: r["keys"] for r in tried.groupBy("to").agg(F.slice(F.sort_array(F.collect_list("key")), 1, each).alias("keys")).collect()}
-    if any(len(own.get(t, ())) < each for t in range(n)):
-        return np.arange(first, first + parts, dtype=np.int32)
-    return np.array([own[p % n][p // n] for p in range(parts)], np.int32)
-
-
-def _packed(h, lo, doc, key, pos, keys):
+def _packed(h, lo, doc, key, pos, parts):
     """One row for each part: hashes, positions and the documents they are in. Places come ordered by document, which
     is written once for each run. The bits that name the part are apart from the 32 of an anchor's hash, so the odds
     of a chance match within a part don't grow with the input; ``lo`` has 32 bits more for windows, which have 64 + 32."""
-    parts = len(keys[0])
     part = _part(h, parts)
     order = np.argsort(part, kind="stable")
     part, h, lo, doc, key, pos = (x if x is None else x[order] for x in (part, h, lo, doc, key, pos))
@@ -129,7 +116,7 @@ def _packed(h, lo, doc, key, pos, keys):
     short = h.astype(np.uint32) if lo is None else h
     for p in full:
         x, r = slice(cut[p], cut[p + 1]), slice(edge[p], edge[p + 1])
-        rows.append((int(keys[0][p]), short[x].tobytes(), b"" if lo is None else lo[x].astype(np.uint32).tobytes(), _short(pos[x]), doc[first[r]].tobytes(), key[first[r]].tobytes() if lo is not None else b"", _short(size[r])))
+        rows.append((int(p), short[x].tobytes(), b"" if lo is None else lo[x].astype(np.uint32).tobytes(), _short(pos[x]), doc[first[r]].tobytes(), key[first[r]].tobytes() if lo is not None else b"", _short(size[r])))
     return _rows(rows)
 
 
@@ -183,7 +170,7 @@ class _Frequent:
         self.h, self.lo, self.low = h[order], lo[order], low[order]
 
 
-def _verdicts(h, lo, doc, key, pos, keys, seen):
+def _verdicts(h, lo, doc, key, pos, parts, seen):
     """What a batch passes on: what it can settle itself goes to its document's part, the rest to the part of its hash.
 
     Anchors (no ``lo``) of several documents of the task are settled, all places of them; one place goes on for
@@ -205,14 +192,13 @@ def _verdicts(h, lo, doc, key, pos, keys, seen):
         at = np.flatnonzero(go & (known >= 0))
         np.minimum.at(seen.low, known[at], doc[at])
     seen.add(h[several], second[several], low[several])
-    yield _packed(h[go], None if lo is None else lo[go], doc[go], key[go], pos[go], keys)
+    yield _packed(h[go], None if lo is None else lo[go], doc[go], key[go], pos[go], parts)
     if settled.any():
-        yield _settled(doc[settled], key[settled], pos[settled], keys)
+        yield _settled(doc[settled], key[settled], pos[settled], parts)
 
 
-def _settled(doc, key, pos, keys):
+def _settled(doc, key, pos, parts):
     """Settled places, which come ordered by document, packed by the part that all places of a document go to."""
-    parts = len(keys[1])
     to = _part(_mix(doc.astype(np.uint64)), parts)
     order = np.argsort(to, kind="stable")
     to, doc, key, pos = to[order], doc[order], key[order], pos[order]
@@ -222,11 +208,11 @@ def _settled(doc, key, pos, keys):
     rows = []
     for p in np.flatnonzero(cut[1:] > cut[:-1]):
         r = slice(edge[p], edge[p + 1])
-        rows.append((int(keys[1][p]), b"", b"", _short(pos[cut[p] : cut[p + 1]]), doc[first[r]].tobytes(), key[first[r]].tobytes(), _short(size[r])))
+        rows.append((int(p) + OF_DOCUMENTS, b"", b"", _short(pos[cut[p] : cut[p + 1]]), doc[first[r]].tobytes(), key[first[r]].tobytes(), _short(size[r])))
     return _rows(rows)
 
 
-def _anchors(batches, window, keys):
+def _anchors(batches, window, parts):
     """Hashes of the runs at the cover positions of texts that hold a window at all."""
     width, seen = window - PERIOD + 1, _Frequent()
     for rows, words in _batches(batches, ["doc_id", "text"]):
@@ -235,7 +221,7 @@ def _anchors(batches, window, keys):
         at = np.flatnonzero(whole & np.isin(pos % PERIOD, COVER) & long[row])
         h = window_hashes(word_hashes(flat, 0), width, 0)[at]
         doc = np.array([r[0] for r in rows], np.int64)[row[at]]
-        yield from _verdicts(h, None, doc, np.zeros_like(doc), pos[at], keys, seen)
+        yield from _verdicts(h, None, doc, np.zeros_like(doc), pos[at], parts, seen)
 
 
 def _runs(batches):
@@ -260,7 +246,7 @@ def _places(held):
     return doc, key, np.concatenate([_long(r["pos"]) for r in held]), join
 
 
-def _reduce(batches, windows, keys):
+def _reduce(batches, windows, parts):
     """For each part: the places whose hash another document has too (anchors), or a smaller document has (windows).
     What is settled passes through."""
     for part, held in _runs(batches):
@@ -272,7 +258,7 @@ def _reduce(batches, windows, keys):
         out = np.flatnonzero(doc > low if windows else low < high)
         if len(out):
             out = out[np.argsort(doc[out], kind="stable")]
-            yield _settled(doc[out], key[out], pos[out], keys)
+            yield _settled(doc[out], key[out], pos[out], parts)
 
 
 def _gather(batches):
@@ -289,15 +275,16 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[first][heads]), pa.ListArray.from_arrays(cuts, pa.array(key[first])), pa.ListArray.from_arrays(cuts, blobs)], ["doc_key", "keys", "pieces"])
 
 
-def _exchange(rows: DataFrame, windows: bool, keys: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_key, keys, pieces): for each document the places that its batch or the parts have settled."""
+def _exchange(rows: DataFrame, windows: bool, parts: int) -> DataFrame:
+    """(doc_key, keys, pieces): for each document the places that its batch or the parts have settled. Part p goes to
+    partition p modulo their number, so all have as many parts."""
     n = partitions(rows.sparkSession)
-    meet = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
-    found = arrow(meet(rows), lambda it: _reduce(it, windows, keys), _PART)
+    meet = lambda df: df.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part")
+    found = arrow(meet(rows), lambda it: _reduce(it, windows, parts), _PART)
     return arrow(meet(found), _gather, "doc_key long, keys array<long>, pieces array<binary>")
 
 
-def _windows(batches, window, keys):
+def _windows(batches, window, parts):
     """Two hashes of the windows that hold an anchor which other documents share: each anchor extends to the
     windows that start up to PERIOD - 1 words before it."""
     width, seen = window - PERIOD + 1, _Frequent()
@@ -315,7 +302,7 @@ def _windows(batches, window, keys):
         hi, lo = (window_hashes(word_hashes(flat, k), window, k)[at] for k in (0, 1))
         doc = np.array([r[0] for r in rows], np.int64)
         key = np.array([r[1] for r in rows], np.int64)
-        yield from _verdicts(hi, lo & np.uint64(0xFFFFFFFF), doc[row[at]], key[row[at]], pos[at], keys, seen)
+        yield from _verdicts(hi, lo & np.uint64(0xFFFFFFFF), doc[row[at]], key[row[at]], pos[at], parts, seen)
 
 
 def _cut(batches, window):
@@ -353,15 +340,16 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     if window < PERIOD + 3:
         raise ValueError(f"window must be {PERIOD + 3} words or more")
-    # keys that can't be null: so both joins below take the documents from one and the same exchange
-    base = docs.select(F.col("doc_id").cast("long"), F.expr("coalesce(CAST(doc_id AS long), -9223372036854775808)").alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), F.col("text").cast("string"))
-    known = base.where("doc_id IS NOT NULL").select("doc_id", "text")
+    base = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), F.col("text").cast("string"))
+    known = base.where("doc_id IS NOT NULL").withColumn("doc_key", F.col("doc_id"))
     n_bytes = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), int(n_bytes / 6 * len(COVER) / PERIOD / PART_ROWS))
-    keys = _keys(docs.sparkSession, parts, 0), _keys(docs.sparkSession, parts, OF_DOCUMENTS)
-    anchors = _exchange(arrow(known, lambda it: _anchors(it, window, keys), _PART), False, keys)
-    near = base.join(anchors, "doc_key").select("doc_id", "row_key", "pieces", "text")
-    places = _exchange(arrow(near, lambda it: _windows(it, window, keys), _PART), True, keys)
-    full = base.join(places, "doc_key", "left")
+    anchors = _exchange(arrow(known.select("doc_id", "text"), lambda it: _anchors(it, window, parts), _PART), False, parts)
+    near = known.join(anchors, "doc_key").select("doc_id", "row_key", "pieces", "text")
+    places = _exchange(arrow(near, lambda it: _windows(it, window, parts), _PART), True, parts)
+    full = known.join(places, "doc_key", "left").select("doc_id", "row_key", "keys", "pieces", "text")
+    # rows without doc_id have nothing to meet, so they meet nothing
+    lone = base.where("doc_id IS NULL").select("doc_id", "row_key", F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<binary>").alias("pieces"), "text")
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<long>>"
-    return arrow(full.select("doc_id", "row_key", "keys", "pieces", "text"), lambda it: _cut(it, window), schema)
+    cut = lambda df: arrow(df, lambda it: _cut(it, window), schema)
+    return cut(full).unionByName(cut(lone))  # apart until here: so both joins take the documents from one and the same exchange
