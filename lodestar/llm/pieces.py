@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import arrow, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words are remembered up to this many, then all are forgotten; longer words than this take the pass for one word.
-CACHE_WORDS, LONG = 300_000, 48
-#: Texts are taken up together until they have this many bytes: more words of one length advance together.
-POOL_BYTES = 4 << 20
+CACHE_WORDS, LONG = 100_000, 48
+#: Texts are taken up together until they have this many bytes: more words of one length advance together. Letters are
+#: hashed this many at once, so that a very long text needs little more than its letters.
+POOL_BYTES, BLOCK = 2 << 20, 1 << 18
 #: Bits of the table that remembers pairs of pieces, and of the filter before the search among the keys.
 PAIR_BITS, FILTER_BITS = 20, 20
 #: Types of pieces and models in a model file: fixed values of the format.
@@ -329,21 +330,27 @@ class Pieces:
         marked = [(SPACE if self.prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(marked)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-        letters = self.letter[codes]
         cut = np.ones(len(whole) + 1, bool)
-        cut[1:-1] = ~self.joined[letters[:-1], letters[1:]]
+        for a in range(0, len(whole), BLOCK):
+            letters = self.letter[codes[a : a + BLOCK + 1]]
+            cut[a + 1 : a + len(letters)] = ~self.joined[letters[:-1], letters[1:]]
         ends = np.cumsum([len(t) for t in marked])
         cut[ends] = True
         at = np.flatnonzero(cut)
         start, span = at[:-1], np.diff(at)
-        first, kind = self._different(codes, start, span)
+        blocks = [*np.unique(np.searchsorted(start, np.arange(0, len(whole), BLOCK))).tolist(), len(start)]
+        parts, kinds = [], []
+        for a, z in zip(blocks, blocks[1:]):
+            own = slice(a, z)
+            first, kind = self._different(codes[at[a] : at[z]], start[own] - at[a], span[own])
+            kinds.append(kind + len(parts))
+            parts += [whole[x:y] for x, y in zip(start[own][first].tolist(), (start + span)[own][first].tolist())]
         if len(self.words) > CACHE_WORDS:
             self._forget()
-        if len(self.pairs) > 4 * CACHE_WORDS:
+        if len(self.pairs) > CACHE_WORDS:
             self.pairs.clear()
-        parts = [whole[a:b] for a, b in zip(start[first].tolist(), (start + span)[first].tolist())]
         new: dict[int, list[str]] = {}
-        for w in parts:
+        for w in dict.fromkeys(parts):
             if w not in self.words:
                 new.setdefault(len(w), []).append(w)
         for n, same in new.items():
@@ -352,9 +359,9 @@ class Pieces:
                     ids = self._numbers(w, self._one(w))
                     self._remember([w], np.array([len(ids)]), ids)
                 continue
-            for a in range(0, len(same), 8192):
-                self._remember(same[a : a + 8192], *self._advance(same[a : a + 8192]))
-        word = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))[kind]
+            for a in range(0, len(same), 4096):
+                self._remember(same[a : a + 4096], *self._advance(same[a : a + 4096]))
+        word = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))[np.concatenate([np.zeros(0, np.int64), *kinds])]
         starts, known = np.array(self.starts), np.array(self.values, np.int32)
         size = starts[word + 1] - starts[word]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -430,14 +437,17 @@ def _pieces(model: bytes) -> Pieces:
 
 
 def _pooled(batches):
-    """Arrow batches joined to larger ones."""
+    """Arrow batches joined to larger ones, and large ones cut."""
     held, size = [], 0
     for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= POOL_BYTES:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+        rows = max(1, b.num_rows * POOL_BYTES // max(1, b.nbytes))
+        for a in range(0, b.num_rows, rows):
+            held.append(b.slice(a, rows))
+            size += held[-1].nbytes
+            if size >= POOL_BYTES:
+                yield pa.concat_batches(held)
+                release()
+                held, size = [], 0
     if held:
         yield pa.concat_batches(held)
 

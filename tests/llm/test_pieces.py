@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -57,6 +58,22 @@ def test_parts_with_one_hash_are_told_apart_by_their_letters(model, monkeypatch)
     assert own.encode(samples()) == library.encode(samples())
 
 
+def test_blocks_of_any_size_and_forgotten_words_change_nothing(model, monkeypatch):
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Pieces(model)
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 50)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        assert own.encode(samples()) == library.encode(samples())
+
+
+def test_pools_join_small_batches_and_cut_large_ones(monkeypatch):
+    monkeypatch.setattr(pieces, "POOL_BYTES", 1000)
+    texts = ["x" * n for n in [1] * 30 + [0] * 5 + [200] * 40 + [9000, 3]]
+    batches = pa.record_batch([texts], ["text"])
+    got = [b.column("text").to_pylist() for b in pieces._pooled([batches.slice(0, 20), batches.slice(20), batches.slice(0, 0)])]
+    assert sum(got, []) == texts and len(got) > 5 and max(len("".join(t)) for t in got if "x" * 9000 not in t) < 4000
+
+
 def test_the_test_tables_get_the_library_ids(model):
     path = Path("/root/testdata/sf0.01/documents.parquet")
     if not path.exists():
